@@ -19,6 +19,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,22 +66,24 @@ def _tables() -> tuple[re.Pattern, dict[int, str]]:
         else:
             runs.append([cp, cp])
     cls = "".join(f"\\U{a:08x}" + (f"-\\U{b:08x}" if b > a else "") for a, b in runs)
-    return re.compile(f"(?:[^{cls}]?[{cls}]+)+"), fold
+    return re.compile(f"[{cls}]+"), fold
 
 
 @functools.cache
-def _scripts() -> tuple[dict[str, str], tuple[dict[int, str], ...], re.Pattern, tuple[re.Pattern, ...]]:
-    """look-alike -> Latin stand-in; tables to each script; where scripts meet; words of look-alikes alone."""
+def _scripts() -> tuple[dict[str, str], tuple[dict[int, str], ...], tuple[re.Pattern, ...]]:
+    """look-alike -> Latin stand-in; tables to each script; words of look-alikes alone, by script."""
     rows = _rows()
     stand_in = {c: r[0] for r in rows for c in r if c != "-"}
     to = tuple({ord(c): r[k] for r in rows if r[k] != "-" for c in r if c != "-"} for k in range(3))
-    sets = ["A-Za-zÀ-ɏḀ-ỿ", "Ѐ-ԯ", "Ͱ-Ͽἀ-῿"]
-    meet = re.compile("|".join(f"[{sets[a]}][̀-ͯ]*[{sets[b]}]" for a in range(3) for b in range(3) if a != b))
-    alone = tuple(re.compile(r"(?<![^\W_])[{0}]+(?![^\W_]|[̀-ͯ])".format("".join(r[k] for r in rows if r[k] != "-"))) for k in range(3))
-    return stand_in, to, meet, alone
+    sets = ["".join(r[k] for r in rows if r[k] != "-") for k in range(3)]
+    alone = tuple(re.compile(rf"[{x}](?<![^\W_].)(?:[{x}]|[̀-ͯ])*(?![^\W_])", re.S) for x in sets)
+    return stand_in, to, alone
 
 
 WORD = re.compile(r"(?:[^\W\d_][̀-ͯ]*)+")
+JOINERS = "\u200c\u200d\ufe0f"
+#: Look-alikes that the main languages of their script do not use: a word of look-alikes alone is not put into them.
+RARE = "ЅЈѕјһ"
 
 
 def _script(c: str) -> int:
@@ -97,63 +100,94 @@ def _joiner_matters(c: str) -> bool:
     return 0x590 <= cp <= 0x1CFF or 0xA800 <= cp <= 0xABFF or cp >= 0x1F000 or 0x2190 <= cp <= 0x2BFF
 
 
-def _stable(m: re.Match) -> str:
+def _stable(s: str) -> str:
+    """A segment in canonical form; it begins with a starter or at the start of the text."""
     _, fold = _tables()
-    s = m.group()
-    if "‌" in s or "‍" in s or "️" in s:
-        s = "".join(c for i, c in enumerate(s) if c not in "‌‍️" or (i and _joiner_matters(s[i - 1])))
-        return unicodedata.normalize("NFC", "".join(c if c in "‌‍️" else fold.get(ord(c), c) for c in s))
+    if any(c in s for c in JOINERS):
+        s = "".join(c for i, c in enumerate(s) if c not in JOINERS or (i and _joiner_matters(s[i - 1])))
+        return unicodedata.normalize("NFC", "".join(c if c in JOINERS else fold.get(ord(c), c) for c in s))
     return unicodedata.normalize("NFC", s.translate(fold))
 
 
+def _splice(text: str) -> str:
+    """Normalize the unstable segments, each with the character before it, and leave the rest as it is."""
+    unstable, _ = _tables()
+    out, done = [], 0
+    for m in unstable.finditer(text):
+        start = max(done, m.start() - 1)
+        out += [text[done:start], _stable(text[start : m.end()])]
+        done = m.end()
+    # a fold may bring a starter next to marks that follow it: settle those few texts as a whole
+    joined = "".join([*out, text[done:]])
+    return joined if unicodedata.is_normalized("NFC", joined) else unicodedata.normalize("NFC", joined)
+
+
 @functools.cache
-def _counters() -> tuple[re.Pattern, ...]:
+def _classes() -> np.ndarray:
+    """By code point: 1-3 telling letters of Latin, Cyrillic, Greek; 4-6 their look-alikes; 7 unstable; 0 the rest."""
     stand_in = _scripts()[0]
-    latin = "".join(c for c in map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0x250)]) if unicodedata.normalize("NFD", c)[0] not in stand_in and c.isalpha())
-    cyr = "".join(c for c in map(chr, range(0x400, 0x530)) if unicodedata.normalize("NFD", c)[0] not in stand_in and c.isalpha())
-    greek = "".join(c for c in map(chr, range(0x370, 0x400)) if unicodedata.normalize("NFD", c)[0] not in stand_in and c.isalpha())
-    return tuple(re.compile(f"[{x}]+") for x in (latin, cyr, greek))
+    cls = np.zeros(0x110000, dtype=np.uint8)
+    for cp in [*range(0x41, 0x530), *range(0x1E00, 0x2000)]:
+        c = chr(cp)
+        if c.isalpha() and (k := _script(c)) < 3:
+            cls[cp] = (4 if unicodedata.normalize("NFD", c)[0] in stand_in else 1) + k
+    unstable, _ = _tables()
+    for cp in range(0x80, 0x30000):
+        if not 0xD800 <= cp < 0xE000 and unstable.match(chr(cp)):
+            cls[cp] = 7
+    return cls
+
+
+SCRIPT_OF = np.array([0, 1, 2, 3, 1, 2, 3, 0], dtype=np.uint8)
 
 
 def _settle(word: str, main: int) -> str:
-    """A word in the script of its telling letters."""
-    stand_in, to, _, _ = _scripts()
+    """A word in the script of its telling letters, or the first of the text's, Latin, Cyrillic, Greek that can write it."""
+    stand_in, to, _ = _scripts()
     parts = unicodedata.normalize("NFD", word)
     telling = [0, 0, 0, 0]
     for c in parts:
         if c not in stand_in and not unicodedata.combining(c):
             telling[_script(c)] += 1
     best = max(telling[:3])
-    pick = main if not best or telling[main] == best else telling.index(best)
+    if best:
+        pick = main if telling[main] == best else telling.index(best)
+    else:
+        letters = {c for c in parts if c in stand_in}
+        pick = next((k for k in (main, 0, 1, 2) if all(ord(c) in to[k] and to[k][ord(c)] not in RARE for c in letters)), 0)
     return unicodedata.normalize("NFC", parts.translate(to[pick]))
 
 
 def canonical(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
-    unstable, _ = _tables()
-    text = unstable.sub(_stable, text)
-    if text.isascii():
+    cls = _classes()
+    kinds = cls[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+    n = np.bincount(kinds, minlength=8)
+    if n[7]:
+        text = _splice(text)
+        if text.isascii():
+            return text
+        kinds = cls[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        n = np.bincount(kinds, minlength=8)
+    main = int(np.argmax(n[1:4])) if n[1:4].any() else int(np.argmax(n[4:7]))
+    if n[1:7].sum() == n[1 + main] + n[4 + main]:
         return text
-    _, _, meet, alone = _scripts()
-    main = -1
-
-    def script() -> int:
-        sizes = [sum(map(len, p.findall(text))) for p in _counters()]
-        return sizes.index(max(sizes))
-
-    if meet.search(text):
-        main = script()
-        text = WORD.sub(lambda m: _settle(m.group(), main) if not m.group().isascii() and meet.search(m.group()) else m.group(), text)
-    found = [bool(p.search(text)) for p in alone]
-    if any(found[1:]) or found[0]:
-        main = script() if main < 0 else main
-        for k in range(3):
-            if k != main and found[k]:
-                text = alone[k].sub(lambda m: _settle(m.group(), main), text)
+    _, _, alone = _scripts()
+    scripts = SCRIPT_OF[kinds]
+    scripts = scripts[(scripts > 0) | (kinds != 7)]  # marks between letters don't part them
+    if ((scripts[1:] != scripts[:-1]) & (scripts[1:] > 0) & (scripts[:-1] > 0)).any():
+        text = WORD.sub(lambda m: m.group() if m.group().isascii() or not _mixed(m.group()) else _settle(m.group(), main), text)
+    for k in range(3):
+        if k != main and n[4 + k]:
+            text = alone[k].sub(lambda m: _settle(m.group(), main), text)
     return text
 
 
+def _mixed(word: str) -> bool:
+    return len({_script(c) for c in word if not unicodedata.combining(c)} - {3}) > 1
+
+
 def _digest(s: str) -> bytes:
     return hashlib.blake2b(s.encode("utf-8", "surrogatepass"), digest_size=16).digest()
 
