@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = []
+MODULES: list[str] = ["multivalue"]
 
 
 def _modules():
