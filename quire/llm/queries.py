@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boilerplate, lookalikes, splitting
+from quire.llm import boilerplate, lookalikes, mixing, packing, splitting, tokens
 from quire.runtime import materialise, table
 
 
@@ -44,7 +46,35 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_bodies, p7_found, p7_pieces, p10_found, p10_canonical)}
+def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
+    sizes = materialise(tokens.token_counts(table(spark, d, "documents")), "tokens")
+    limits = table(spark, d, "pack_limits").where("capacity_tokens > 0").distinct().orderBy("limit_name").collect()
+    return [(r.limit_name, r.capacity_tokens, packing.pack(sizes, r.capacity_tokens).select(F.lit(r.limit_name).alias("limit_name"), "*")) for r in limits]
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [x for _, _, x in _packed(spark, d)])
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, [packing.fill(x, c).select(F.lit(n).alias("limit_name"), F.lit(c).alias("capacity_tokens"), "*") for n, c, x in _packed(spark, d)])
+
+
+def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "documents").withColumn("text_key", F.concat_ws(":", F.xxhash64("text"), F.hash("text"), F.length("text")))
+    sizes = materialise(tokens.token_counts(docs, extra=("source", "text_key")), "tokens")
+    return mixing.mix(sizes, table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_bodies, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
 
 _P5 = r"""
 WITH docs AS (SELECT DISTINCT c.chunk_id, split_part(s.path, '/', 1) AS site, c.body
