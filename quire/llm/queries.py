@@ -7,10 +7,24 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boilerplate, lookalikes, mixing, packing, splitting, tokens
+from quire.llm import boilerplate, lookalikes, mixing, neighbours, packing, ppm, splitting, tokens
 from quire.runtime import materialise, table
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    chunks = table(spark, d, "chunks").select(F.col("chunk_id").alias("item_id"), "lang", "body")
+    docs = table(spark, d, "documents").select("lang", F.col("text").alias("body"))
+    return ppm.identify(chunks, ppm.train(ppm.training_rows([chunks, docs])))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return ppm.mislabelled(materialise(_languages(spark, d), "segments")).select(F.col("item_id").alias("chunk_id"), "seg", "lang")
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d).select(F.col("item_id").alias("chunk_id"), "seg", "lang", "confidence", "start", "stop")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     docs = boilerplate.site_chunks(table(spark, d, "chunks"), table(spark, d, "sources"))
     lines = materialise(boilerplate.keyed_lines(docs), "lines")
@@ -25,6 +39,30 @@ def p5_bodies(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.rebuild(docs, found).withColumnRenamed("doc_id", "chunk_id")
 
 
+def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    vectors = table(spark, d, "chunk_vectors").select("vec_id", "embedding")
+    pts = materialise(neighbours.points(vectors), "points")
+    return vectors, pts, neighbours.graph(pts)
+
+
+def p6_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    vectors, pts, near = _graph(spark, d)
+    return neighbours.nearest(pts, neighbours.scored(pts, near), neighbours.members(vectors))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    vectors, pts, near = _graph(spark, d)
+    best = neighbours.nearest(pts, neighbours.scored(pts, near, 0.9), neighbours.members(vectors)).where("similarity >= 0.9")
+    return best.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).distinct()
+
+
+def p6_search(spark: SparkSession, d: str) -> DataFrame:
+    """Every vector whose id is divisible by 50, against all."""
+    _, pts, near = _graph(spark, d)
+    asked = pts.where("id % 50 = 0").select(F.col("id").alias("query_id"), "e")
+    return neighbours.search(pts, near, asked)
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return splitting.chunk_items(table(spark, d, "chunks"), table(spark, d, "sources"), table(spark, d, "split_limits"))
 
@@ -74,7 +112,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_bodies, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
 
 _P5 = r"""
 WITH docs AS (SELECT DISTINCT c.chunk_id, split_part(s.path, '/', 1) AS site, c.body
