@@ -7,10 +7,20 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boilerplate, lookalikes, mixing, neighbours, packing, ppm, splitting, tokens
+from quire.llm import boilerplate, lookalikes, mixing, neighbours, packing, ppm, scans, splitting, tokens
 from quire.runtime import materialise, table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "sources")
+    return scans.damage(scans.pages(table(spark, d, "chunks"), sources), sources).withColumnRenamed("item_id", "chunk_id")
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    sources = table(spark, d, "sources")
+    return scans.clean(scans.pages(table(spark, d, "chunks"), sources), sources).withColumnRenamed("item_id", "chunk_id")
+
+
 def _languages(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks").select(F.col("chunk_id").alias("item_id"), "lang", "body")
     docs = table(spark, d, "documents").select("lang", F.col("text").alias("body"))
@@ -112,7 +122,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
 
 _P5 = r"""
 WITH docs AS (SELECT DISTINCT c.chunk_id, split_part(s.path, '/', 1) AS site, c.body
