@@ -7,10 +7,32 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boilerplate, lookalikes, mixing, neighbours, packing, ppm, scans, splitting, tokens
+from quire.llm import boilerplate, lookalikes, matching, mixing, neighbours, packing, ppm, scans, splitting, tokens
 from quire.runtime import materialise, table
 
 
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    """Files and entries with the confidence that the entry names the file's work; an entry never its own file."""
+    files = table(spark, d, "sources").where(F.col("kind").isin("book", "paper"))
+    meta = table(spark, d, "source_meta").select("source_id", "author", "issued")
+    first = files.select("source_id", "title").join(meta, "source_id", "left").select(F.col("source_id").alias("id"), "title", F.col("author").alias("persons"), "issued")
+    cited = table(spark, d, "citations").select("citation_id", "paper", "title", "authors", "year", "raw").distinct()
+    # an entry whose title was not taken from the printed line: what stands in quotation marks there
+    quoted = F.nullif(F.trim(F.regexp_extract("raw", "[“\"«]([^”\"»]{12,}?),?[”\"»]", 1)), F.lit(""))
+    second = cited.select(F.col("citation_id").alias("id"), F.coalesce("title", quoted).alias("title"), F.col("authors").alias("persons"), F.col("year").cast("string").alias("issued"))
+    found = matching.match(first, second).withColumnRenamed("id", "source_id").withColumnRenamed("id2", "citation_id")
+    own = files.select("source_id", "hash").join(cited.select("citation_id", F.col("paper").alias("hash")).distinct(), "hash").select("source_id", "citation_id")
+    return found.join(own, ["source_id", "citation_id"], "left_anti")
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("source_id", "citation_id")
+
+
+def p1_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("source_id", "citation_id", F.round("confidence", 4).alias("confidence"))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "sources")
     return scans.damage(scans.pages(table(spark, d, "chunks"), sources), sources).withColumnRenamed("item_id", "chunk_id")
@@ -122,7 +144,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_clean, p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_clean, p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
 
 _P5 = r"""
 WITH docs AS (SELECT DISTINCT c.chunk_id, split_part(s.path, '/', 1) AS site, c.body
