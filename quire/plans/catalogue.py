@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["multivalue"]
+MODULES: list[str] = ["multivalue", "pages"]
 
 
 def _modules():
