@@ -15,9 +15,10 @@ READ_SCHEMA = "at timestamp, origin string, chunk_id long"
 def read_events(searches: DataFrame, reads: DataFrame, late: str = "1 hour") -> DataFrame:
     """(search_id, origin, at, chunk_id, read_at): a stream of hits read within half an hour of their search.
 
-    An interval join: state is kept for the half hour and the watermark only.
+    An interval join: state is kept for the half hour and the watermark only. Searches delivered again within the
+    watermark count once.
     """
-    s = searches.withWatermark("at", late).select("search_id", "origin", "at", F.explode("hits").alias("chunk_id"))
+    s = searches.withWatermark("at", late).dropDuplicatesWithinWatermark(["search_id"]).select("search_id", "origin", "at", F.explode("hits").alias("chunk_id"))
     r = reads.withWatermark("at", late).select(F.col("origin").alias("r_origin"), F.col("chunk_id").alias("r_chunk"), F.col("at").alias("read_at"))
     close = F.expr(f"r_origin = origin AND r_chunk = chunk_id AND read_at >= at AND read_at < at + {J.READ_WITHIN}")
     return s.join(r, close).select("search_id", "origin", "at", "chunk_id", "read_at")
