@@ -75,8 +75,9 @@ def _scripts() -> tuple[dict[str, str], tuple[dict[int, str], ...], tuple[re.Pat
     rows = _rows()
     stand_in = {c: r[0] for r in rows for c in r if c != "-"}
     to = tuple({ord(c): r[k] for r in rows if r[k] != "-" for c in r if c != "-"} for k in range(3))
-    sets = ["".join(r[k] for r in rows if r[k] != "-") for k in range(3)]
-    alone = tuple(re.compile(rf"[{x}](?<![^\W_].)(?:[{x}]|[̀-ͯ])*(?![^\W_])", re.S) for x in sets)
+    letters = [chr(cp) for cp in [*range(0x41, 0x530), *range(0x1E00, 0x2000)] if chr(cp).isalpha()]
+    sets = ["".join(c for c in letters if _script(c) == k and unicodedata.normalize("NFD", c)[0] in stand_in) for k in range(3)]
+    alone = tuple(re.compile(rf"[{x}](?<![^\W_].)(?<![̀-ͯ].)(?:[{x}]|[̀-ͯ])*(?![^\W_]|[̀-ͯ])", re.S) for x in sets)
     return stand_in, to, alone
 
 
@@ -170,7 +171,7 @@ def canonical(text: str | None) -> str | None:
             return text
         kinds = cls[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
         n = np.bincount(kinds, minlength=8)
-    main = int(np.argmax(n[1:4])) if n[1:4].any() else int(np.argmax(n[4:7]))
+    main = int(np.argmax(n[1:4]))  # Latin, if the text has no telling letters
     if n[1:7].sum() == n[1 + main] + n[4 + main]:
         return text
     _, _, alone = _scripts()

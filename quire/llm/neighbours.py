@@ -126,6 +126,8 @@ class Tree:
 
 
 def _matrix(column) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, 1), dtype=np.float32)
     return np.frombuffer(b"".join(column), dtype=np.float16).reshape(len(column), -1).astype(np.float32)
 
 

@@ -159,9 +159,7 @@ class Trees:
         out = np.zeros((len(data), len(LANGUAGES)), dtype=np.int16)
         left = np.arange(len(data))
         for k in range(self.order, -1, -1):
-            left = left if k == 0 else left[left >= k]
-            if not len(left):
-                break
+            early, left = left[left < k], left[left >= k]  # the first bytes have no context so long
             if len(left) * 3 > len(data):
                 keys = grams(data, k + 1)[left - k]
             else:
@@ -175,6 +173,7 @@ class Trees:
             ctx = self.contexts[k].find(keys >> np.uint64(8))
             known = ctx >= 0
             out[left[known]] += self.escapes[k][ctx[known]]
+            left = np.concatenate([early, left])
         out[left] += 8 * UNIT
         return np.add.reduceat(out, starts, axis=0, dtype=np.int32) / UNIT
 
