@@ -15,7 +15,18 @@ RUSSIAN_SHARE = 0.25
 
 def kept(c: Column, cls: str) -> Column:
     """How many characters of a class there are."""
-    return F.length(F.regexp_replace(c, f"[^{cls}]", ""))
+    return F.length(F.regexp_replace(c, f"[^{cls}]+", ""))
+
+
+def vowels(c: Column) -> Column:
+    """How many vowels of the two alphabets; deleting them is far quicker than a pattern for what lies between."""
+    low = F.lower(c)
+    return F.length(low) - F.length(F.translate(low, VOWELS, ""))
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used (conditions are not shared otherwise)."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def strip(c: Column) -> Column:
@@ -38,22 +49,23 @@ def _lines(c: Column) -> Column:
     return F.filter(F.split(c, "\n", -1), lambda x: strip(x) != "")
 
 
-def leader_lines(c: Column) -> Column:
-    return F.size(F.filter(_lines(c), lambda x: x.rlike(r"\.\s?\.\s?\.\s?\.")))
+LEADERS = r"\.\s?\.\s?\.\s?\."
+ENTRY = r"^\s*\S.*,\s*\d+(\s*[,–-]\s*\d+)*\s*$"
 
 
-def index_lines(c: Column) -> Column:
-    return F.size(F.filter(_lines(c), lambda x: x.rlike(r"^\s*\S.*,\s*\d+(\s*[,–-]\s*\d+)*\s*$")))
+def line_counts(c: Column) -> Column:
+    """n_lines that are not blank, leaders and entries among them, as a struct."""
+    return once(_lines(c), lambda ls: F.struct(F.size(ls).alias("n_lines"), F.size(F.filter(ls, lambda x: x.rlike(LEADERS))).alias("leaders"), F.size(F.filter(ls, lambda x: x.rlike(ENTRY))).alias("entries")))
 
 
-def text_lines(c: Column) -> Column:
-    return F.size(_lines(c))
+def matter(n: Column) -> Column:
+    """Contents pages and subject indexes, by their line counts."""
+    return (n.leaders > n.n_lines * LEADER_SHARE) | ((n.n_lines > INDEX_LINES) & (n.entries > n.n_lines * INDEX_SHARE))
 
 
 def front_or_back(c: Column) -> Column:
     """Contents pages, subject indexes, dividers."""
-    n = text_lines(c)
-    return too_short(c) | (leader_lines(c) > n * LEADER_SHARE) | ((n > INDEX_LINES) & (index_lines(c) > n * INDEX_SHARE))
+    return too_short(c) | once(line_counts(c), matter)
 
 
 def _shifted(c: Column) -> Column:
@@ -62,30 +74,30 @@ def _shifted(c: Column) -> Column:
     return F.translate(c, low, "".join(chr(ord(x) + SHIFT) for x in low))
 
 
-def char_counts(c: Column) -> dict[str, Column]:
-    """letters, foreign, chars, vowels, and chars and vowels of the shifted text."""
-    moved = _shifted(c)
-    solid = lambda x: F.length(F.regexp_replace(x, r"(?U)[\s\p{Nd}]", ""))
-    return {
-        "letters": kept(c, r"\p{L}"),
-        "foreign": kept(c, r"\p{L}") - kept(c, "a-zA-Z") - kept(c, r"\p{IsCyrillic}&&\p{L}"),
-        "chars": solid(c),
-        "vowels": kept(F.lower(c), VOWELS),
-        "shifted_chars": solid(moved),
-        "shifted_vowels": kept(F.lower(moved), VOWELS),
-    }
+def char_counts(c: Column) -> Column:
+    """letters, foreign, chars, vowels, and chars and vowels of the shifted text, as a struct."""
+    solid = lambda x: F.length(F.regexp_replace(x, r"(?U)[\s\p{Nd}]+", ""))
+    plain = once(
+        kept(c, r"\p{L}"),
+        lambda n: F.struct(n.alias("letters"), (n - kept(c, "a-zA-Z") - kept(c, r"\p{IsCyrillic}&&\p{L}")).alias("foreign"), solid(c).alias("chars"), vowels(c).alias("vowels")),
+    )
+    moved = once(_shifted(c), lambda m: F.struct(solid(m).alias("shifted_chars"), vowels(m).alias("shifted_vowels")))
+    return once(F.struct(plain.alias("p"), moved.alias("m")), lambda x: F.struct(*[x.p[k].alias(k) for k in ("letters", "foreign", "chars", "vowels")], *[x.m[k].alias(k) for k in ("shifted_chars", "shifted_vowels")]))
 
 
-def unreadable(c: Column) -> Column:
-    """Foreign letters, a layer without vowels, or one that reads only when its ASCII is moved back up."""
-    n = char_counts(c)
+def garbled(n: Column) -> Column:
+    """Foreign letters, a layer without vowels, or one that reads only when its ASCII is moved back up; by its counts."""
     return (
-        ((n["letters"] >= MIN_CHARS) & (n["foreign"] > n["letters"] * FOREIGN_SHARE))
-        | ((n["chars"] >= MIN_CHARS) & (n["vowels"] < n["chars"] * VOWEL_SHARE))
-        | ((n["shifted_chars"] >= MIN_CHARS) & (n["shifted_vowels"] > n["shifted_chars"] * SHIFTED_SHARE) & (n["shifted_vowels"] * n["chars"] > n["vowels"] * n["shifted_chars"]))
+        ((n.letters >= MIN_CHARS) & (n.foreign > n.letters * FOREIGN_SHARE))
+        | ((n.chars >= MIN_CHARS) & (n.vowels < n.chars * VOWEL_SHARE))
+        | ((n.shifted_chars >= MIN_CHARS) & (n.shifted_vowels > n.shifted_chars * SHIFTED_SHARE) & (n.shifted_vowels * n.chars > n.vowels * n.shifted_chars))
     )
 
 
+def unreadable(c: Column) -> Column:
+    return once(char_counts(c), garbled)
+
+
 def normalize_title(c: Column) -> Column:
     """Lower case, ё as е, everything but letters and digits a single space."""
     return F.trim(F.regexp_replace(F.translate(F.lower(c), "ё", "е"), r"[^\p{L}\p{Nd}]+", " "))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import pages as P
-from quire.runtime import table
+from quire.runtime import spread, table
 
 
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -15,7 +15,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_language(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "chunks").select("chunk_id", T.language(F.col("body")).alias("language")).distinct()
+    return spread(table(spark, d, "chunks")).select("chunk_id", T.language(F.col("body")).alias("language")).distinct()
 
 
 def short_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -24,12 +24,13 @@ def short_pages(spark: SparkSession, d: str) -> DataFrame:
 
 def matter_shares(spark: SparkSession, d: str) -> DataFrame:
     c = F.col("body")
-    return table(spark, d, "chunks").select("chunk_id", T.text_lines(c).alias("n_lines"), T.leader_lines(c).alias("leaders"), T.index_lines(c).alias("entries"), T.front_or_back(c).alias("front_or_back")).distinct()
+    n = spread(table(spark, d, "chunks")).select("chunk_id", T.too_short(c).alias("short"), T.line_counts(c).alias("n")).distinct()
+    return n.select("chunk_id", "n.*", (F.col("short") | T.matter(F.col("n"))).alias("front_or_back"))
 
 
 def readability(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("body")
-    return table(spark, d, "chunks").select("chunk_id", *(x.cast("long").alias(k) for k, x in T.char_counts(c).items()), T.unreadable(c).alias("unreadable")).distinct()
+    n = spread(table(spark, d, "chunks")).select("chunk_id", T.char_counts(F.col("body")).alias("n")).distinct()
+    return n.select("chunk_id", *(F.col(f"n.{k}").cast("long").alias(k) for k in ("letters", "foreign", "chars", "vowels", "shifted_chars", "shifted_vowels")), T.garbled(F.col("n")).alias("unreadable"))
 
 
 def scanned_files(spark: SparkSession, d: str) -> DataFrame:

@@ -60,5 +60,14 @@ def salted_row_number(df: DataFrame, keys: list[str], order: list[str], out: str
     return joined.withColumn(out, (F.col("_n") + F.col("_below")).cast("long")).drop("_n", "_below", "_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer partitions than there are cores (a small file) in as many as cores; any larger one as it is.
+
+    For maps that cost far more than moving their input. A large input is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
