@@ -30,7 +30,9 @@ K = 10
 WIDTH = 20
 REVERSE = 20
 TREES = 4
-ROUNDS = 3
+ROUNDS = 5
+#: Rounds end when one brings in a smaller share of entries than this.
+SETTLED = 0.03
 BLOCK = 1200
 FIT_ROWS = 20_000
 ENTRIES = 256
@@ -233,13 +235,26 @@ def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
     return everything.groupBy("block").applyInPandas(_round, f"id long, near {_NEAR}")
 
 
-def graph(pts: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(id, near): for every point its most similar others, best first."""
+def changed(before: DataFrame, after: DataFrame) -> float:
+    """Share of the entries of the first K places that a round brought in."""
+    a = after.select("id", F.transform(F.slice("near", 1, K), lambda x: x.id).alias("a"))
+    both = a.join(before.select("id", F.transform(F.slice("near", 1, K), lambda x: x.id).alias("b")), "id")
+    r = both.agg(F.sum(F.size(F.array_except("a", "b"))).alias("new"), F.sum(F.size("a")).alias("all")).first()
+    return (r["new"] or 0) / max(1, r["all"] or 0)
+
+
+def graph(pts: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+    """(id, near): for every point its most similar others, best first.
+
+    Rounds end when one brings in less than ``settled`` of the entries, or after ``rounds``.
+    """
     home, near = start(pts)
     home, near = materialise(home, "home"), materialise(near, "near")
     for _ in range(rounds):
-        near = materialise(descend(pts, home, near), "near")
+        before, near = near, materialise(descend(pts, home, near), "near")
         pts.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of earlier rounds can go
+        if changed(before, near) < settled:
+            break
     return near
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import boilerplate, lookalikes, matching, mixing, neighbours, packing, ppm, scans, splitting, tokens
-from quire.runtime import materialise, table
+from quire.runtime import materialise, spread, table
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
@@ -35,16 +35,16 @@ def p1_matches(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "sources")
-    return scans.damage(scans.pages(table(spark, d, "chunks"), sources), sources).withColumnRenamed("item_id", "chunk_id")
+    return scans.damage(scans.pages(spread(table(spark, d, "chunks")), sources), sources).withColumnRenamed("item_id", "chunk_id")
 
 
 def p2_clean(spark: SparkSession, d: str) -> DataFrame:
     sources = table(spark, d, "sources")
-    return scans.clean(scans.pages(table(spark, d, "chunks"), sources), sources).withColumnRenamed("item_id", "chunk_id")
+    return scans.clean(scans.pages(spread(table(spark, d, "chunks")), sources), sources).withColumnRenamed("item_id", "chunk_id")
 
 
 def _languages(spark: SparkSession, d: str) -> DataFrame:
-    chunks = table(spark, d, "chunks").select(F.col("chunk_id").alias("item_id"), "lang", "body")
+    chunks = spread(table(spark, d, "chunks")).select(F.col("chunk_id").alias("item_id"), "lang", "body")
     docs = table(spark, d, "documents").select("lang", F.col("text").alias("body"))
     return ppm.identify(chunks, ppm.train(ppm.training_rows([chunks, docs])))
 
@@ -109,15 +109,15 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.alike_pairs(materialise(lookalikes.looks(table(spark, d, "documents")), "looks"))
+    return lookalikes.alike_pairs(materialise(lookalikes.looks(spread(table(spark, d, "documents"))), "looks"))
 
 
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
-    return lookalikes.canonical_texts(table(spark, d, "documents"))
+    return lookalikes.canonical_texts(spread(table(spark, d, "documents")))
 
 
 def _packed(spark: SparkSession, d: str) -> list[tuple[str, int, DataFrame]]:
-    sizes = materialise(tokens.token_counts(table(spark, d, "documents")), "tokens")
+    sizes = materialise(tokens.token_counts(spread(table(spark, d, "documents"))), "tokens")
     limits = table(spark, d, "pack_limits").where("capacity_tokens > 0").distinct().orderBy("limit_name").collect()
     return [(r.limit_name, r.capacity_tokens, packing.pack(sizes, r.capacity_tokens).select(F.lit(r.limit_name).alias("limit_name"), "*")) for r in limits]
 
@@ -131,7 +131,7 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, d, "documents").withColumn("text_key", F.concat_ws(":", F.xxhash64("text"), F.hash("text"), F.length("text")))
+    docs = spread(table(spark, d, "documents")).withColumn("text_key", F.concat_ws(":", F.xxhash64("text"), F.hash("text"), F.length("text")))
     sizes = materialise(tokens.token_counts(docs, extra=("source", "text_key")), "tokens")
     return mixing.mix(sizes, table(spark, d, "mix_targets"))
 
