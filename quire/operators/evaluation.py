@@ -102,3 +102,11 @@ def mine_pairs(notes: DataFrame) -> DataFrame:
     every = alias.unionByName(link).where((F.trim("query") != "") & (F.lower("query") != F.lower("name"))).distinct()
     lone = every.groupBy(F.lower("query").alias("q")).agg(F.count_distinct("note").alias("n")).where("n = 1").select("q")
     return every.join(lone, F.lower("query") == F.col("q"), "left_semi").select("query", "note", "section", "source")
+
+
+def word_share(rows: DataFrame, key: str) -> DataFrame:
+    """(key, share, style) of rows (key, query, body): the share of the query's distinct words that the body has; all of them make it copied."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0)))
+    q = rows.select(key, words(F.col("query")).alias("q"), words(F.col("body")).alias("b"))
+    share = F.when(F.size("q") == 0, 0.0).otherwise(F.size(F.array_intersect("q", "b")) / F.size("q"))
+    return q.select(key, share.alias("share")).withColumn("style", F.when(F.col("share") == 1, "copied").otherwise("rephrased"))

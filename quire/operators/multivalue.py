@@ -63,7 +63,14 @@ def cells(s: str) -> list[tuple[int, int, bool, str]]:
         else:
             out.append([m.start(), m.end(), False, before])
             open_ = True
-    return [tuple(x) for x in out if any(c.isalnum() for c in s[x[0] : x[1]])]
+    kept: list[list] = []
+    for x in out:
+        text = s[x[0] : x[1]]
+        if kept and x[3] == "comma" and not x[2] and not kept[-1][2] and text.strip().rstrip(".") in SUFFIXES:
+            kept[-1][1] = x[1]  # what follows a name is part of it
+        elif any(c.isalnum() for c in text):
+            kept.append(x)
+    return [tuple(x) for x in kept]
 
 
 def shape(value: str) -> str:

@@ -61,3 +61,10 @@ def page_chunks(pages: DataFrame, key: str, page: str = "page", body: str = "bod
     c = F.col(body)
     kept = pages.where(~T.front_or_back(c) & ~T.unreadable(c)).select(key, page, T.strip(c).alias("body"))
     return kept.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(page))).select(key, "ord", page, "body")
+
+
+def thin(chunks: DataFrame, files: DataFrame) -> DataFrame:
+    """(source_id, pages, cited, thin): files of which chunks cite less than half the pages. files: source_id, pages."""
+    cited = chunks.groupBy("source_id").agg(F.count_distinct("page").alias("cited"))
+    out = files.join(cited, "source_id", "left").withColumn("cited", F.coalesce("cited", F.lit(0)))
+    return out.select("source_id", "pages", "cited", (F.col("cited") < F.col("pages") * 0.5).alias("thin"))

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import stem as S
 from quire.functions import text as T
+from quire.runtime import maybe_broadcast
 
 RRF_K = 60
 DEFAULT_LIMIT, MAX_LIMIT, MAX_DEPTH, RERANKED = 10, 50, 500, 20
@@ -97,14 +98,24 @@ def vocabulary(words: DataFrame) -> DataFrame:
     return words.select("word", "lang").distinct().mapInPandas(_stems, "word string, lang string, term string")
 
 
-def postings(texts: DataFrame, stemmed: bool = False) -> DataFrame:
-    """(chunk_id, lang, body) -> (term, chunk_id, lang, positions from 1). Each distinct word is stemmed once."""
+def query_terms(q: Query, stemmed: bool) -> list[str]:
+    """All terms, required or not wanted, that a query looks up."""
+    return sorted({t for x in (("russian", "english") if stemmed else ("simple",)) for g in parse(q.text, x) for c in g for t in c.terms})
+
+
+def postings(texts: DataFrame, stemmed: bool = False, only: list[str] | None = None) -> DataFrame:
+    """(chunk_id, lang, body) -> (term, chunk_id, lang, positions from 1). Each distinct word is stemmed once.
+
+    ``only`` keeps the postings of some terms: for a query without a stored index, so that just these are shuffled.
+    """
     each = texts.select("chunk_id", "lang", F.posexplode(token_array(F.col("body"))).alias("p", "word")).select("chunk_id", "lang", (F.col("p") + 1).alias("pos"), "word")
     if stemmed:
-        terms = vocabulary(each)
-        each = each.join(terms, ["word", "lang"]).where("term IS NOT NULL")
+        terms = vocabulary(each).where("term IS NOT NULL")
+        terms = terms if only is None else maybe_broadcast(terms.where(F.col("term").isin(only)))
+        each = each.join(terms, ["word", "lang"])
     else:
         each = each.withColumnRenamed("word", "term")
+        each = each if only is None else each.where(F.col("term").isin(only))
     return each.groupBy("term", "chunk_id", "lang").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -374,3 +385,11 @@ def read_passage(chunks: DataFrame, chunk_id: int) -> DataFrame:
 
 def bodies(chunks: DataFrame, ids: list[int], chars: int) -> DataFrame:
     return chunks.where(F.col("chunk_id").isin(ids)).select("chunk_id", F.substring("body", 1, chars).alias("body")).distinct()
+
+
+def indexed_text(chunks: DataFrame, sources: DataFrame) -> DataFrame:
+    """Chunks with the text that is indexed: a source's aliases go with its first chunk only; headings do not."""
+    first = chunks.groupBy("source_id").agg(F.min("ord").alias("_first"))
+    j = chunks.join(first, "source_id").join(sources.select("source_id", F.coalesce("aliases", F.array().cast("array<string>")).alias("_a")), "source_id")
+    extra = (F.col("ord") == F.col("_first")) & (F.size("_a") > 0)
+    return j.withColumn("body", F.when(extra, F.concat_ws(" ", "body", F.array_join("_a", " "))).otherwise(F.col("body"))).select(chunks.columns)

@@ -193,3 +193,16 @@ def state() -> Column:
     """What a listed row shows: waiting, embedding, ready or errors. Needs chunks, embedded, quarantined, scan."""
     done = F.col("embedded") + F.col("quarantined")
     return F.when(F.col("scan"), "recognising").when(F.col("chunks") == 0, "waiting").when(done < F.col("chunks"), "embedding").when(F.col("quarantined") > 0, "errors").otherwise("ready")
+
+
+# ---- queues ---------------------------------------------------------------------------------------------------------
+
+
+def next_scans(scans: DataFrame, limit: int) -> DataFrame:
+    """Scans with pages left to recognise and attempts left, least tried first."""
+    return scans.where((F.col("recognised") < F.col("pages")) & (F.coalesce("attempts", F.lit(0)) < MAX_ATTEMPTS)).orderBy("attempts", "path", "hash").limit(limit)
+
+
+def insert_absent(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Old rows, and new ones whose key is not there yet."""
+    return old.unionByName(new.select(old.columns).join(old.select(key), key, "left_anti").select(old.columns))

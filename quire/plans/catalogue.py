@@ -6,7 +6,7 @@ import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: list[str] = ["multivalue", "pages", "search", "graph", "snapshots", "journal", "reading"]
+MODULES: list[str] = ["multivalue", "pages", "search", "graph", "snapshots", "journal", "reading", "extras"]
 
 
 def _modules():

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import search as S
-from quire.runtime import materialise, table
+from quire.runtime import materialise, spread, table
 
 #: The search terms and the query vector of the registered queries.
 AND, PHRASE, NOT = "ordered partitions ledger", '"cost-based partition"', "ledger -cursor"
@@ -17,13 +18,12 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").dropDuplicates(["chunk_id"])
 
 
-def _index(spark: SparkSession, d: str, stemmed: bool = False) -> DataFrame:
-    lang = F.lit("simple")
-    if stemmed:
-        from quire.functions import text as T
-
-        lang = T.language(F.col("body"))
-    return materialise(S.postings(_chunks(spark, d).select("chunk_id", lang.alias("lang"), "body"), stemmed), "postings")
+def _index(spark: SparkSession, d: str, q: S.Query, stemmed: bool = False) -> DataFrame:
+    """The postings of the query's terms; with a stored index this is a filter of it."""
+    lang = T.language(F.col("body")) if stemmed else F.lit("simple")
+    texts = spread(table(spark, d, "chunks")).select("chunk_id", lang.alias("lang"), "body")
+    some = S.postings(texts, stemmed, S.query_terms(q, stemmed)).withColumn("positions", F.array_distinct("positions"))  # repeated deliveries
+    return materialise(some, "postings")
 
 
 def term_df(spark: SparkSession, d: str) -> DataFrame:
@@ -31,7 +31,7 @@ def term_df(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _matched(spark: SparkSession, d: str, q: str) -> DataFrame:
-    return S.match(_index(spark, d), S.parse(q))
+    return S.match(_index(spark, d, S.Query(q)), S.parse(q))
 
 
 def text_and(spark: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,7 @@ def text_or(spark: SparkSession, d: str) -> DataFrame:
 def text_topk(spark: SparkSession, d: str) -> DataFrame:
     """Stemmed, each chunk in its own language, ranked by cover density, titles and aliases boosted."""
     q = S.Query("adaptive catalogues", limit=20)
-    return S.text_search(_index(spark, d, True), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
+    return S.text_search(_index(spark, d, q, True), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
 
 
 def text_kind_tag(spark: SparkSession, d: str) -> DataFrame:
@@ -100,13 +100,13 @@ def per_source_cap(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     q = S.Query("adaptive catalogues", limit=20, per_source=2, vector=VECTOR)
-    hits = S.hybrid(_index(spark, d, True), table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
+    hits = S.hybrid(_index(spark, d, q, True), table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
     return hits.select("chunk_id", "path", F.round("rank", 9).alias("rank"))
 
 
 def compare_legs(spark: SparkSession, d: str) -> DataFrame:
     q = S.Query("adaptive catalogues", limit=10, vector=VECTOR)
-    lists = S.compare(_index(spark, d, True), table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
+    lists = S.compare(_index(spark, d, q, True), table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
     out = None
     for name, hits in lists.items():
         one = hits.select(F.lit(name).alias("leg"), "pos", "chunk_id")
