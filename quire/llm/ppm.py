@@ -7,7 +7,7 @@ code length in each language, escapes from longer contexts included. A byte is l
 whole batches of text are scored by a few array operations.
 
 Training takes a bounded sample of labelled rows (``PER_LANGUAGE`` bodies of each language, by hash). Labels are
-noisy, so before the trees grow every sentence of the sample is moved to the language its words speak for.
+noisy, so before the trees grow every body and sentence of the sample is moved to the language its words speak for.
 
 A body is cut into sentences; a Viterbi path over them, with a price in bits for a change of language, gives the
 segments. Bodies whose sentences agree, nearly all, skip the path. The confidence of a segment is the softened
@@ -37,7 +37,7 @@ BY_SPELLING = {w: k for k, ws in SPELLINGS.items() for w in ws.split()}
 
 ORDER = 5
 #: The bound of the training sample, in bodies of each language, and how much of each body it takes.
-PER_LANGUAGE = 250
+PER_LANGUAGE = 400
 TRAIN_BYTES = 3_000
 #: Bits that a change of language between sentences costs.
 SWITCH = 24.0
@@ -46,8 +46,11 @@ SOFTEN = 0.05
 UNIT = 64  # code lengths are stored in 1/64 bit
 SHORT = 12  # a shorter sentence, in bytes, is joined with the next
 
-FOLD = bytes(48 if 48 <= i <= 57 else i + 32 if 65 <= i <= 90 else i for i in range(256))
+FOLD = bytes(48 if 48 <= i <= 57 else i for i in range(256))
+CODE = re.compile(r"```.*?(?:```|\Z)", re.S)
 END = re.compile(rb"(?:[.!?]|\xe2\x80\xa6)(?:[\"')\]]|\xc2\xbb|\xe2\x80[\x9c\x9d])* ")
+OPEN, CLOSE = rb"(?:[\"'\[(]|\xc2\xab|\xe2\x80[\x9c\x9e\x98])", rb"(?:[\"'\])]|\xc2\xbb|\xe2\x80[\x9c\x9d\x99])"
+PHRASE = re.compile(rb"%s+[^.!?]{1,120}?%s+[.!?,;:]?(?: |$)" % (OPEN, CLOSE))
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,16 +61,27 @@ def label_language(column) -> F.Column:
     return F.create_map(*pairs)[low]
 
 
+def masked(body: str) -> str:
+    """Fenced code as white space of the same length: code is in no language."""
+    return CODE.sub(lambda m: " " * len(m.group()), body) if "```" in body else body
+
+
 def prepare(body: str) -> bytes:
-    """White space collapsed, ASCII capitals lowered, digits alike."""
-    return " ".join(body.split()).encode("utf-8", "replace").translate(FOLD)
+    """White space collapsed, lower case, digits alike, without code."""
+    return " ".join(masked(body).lower().split()).encode("utf-8", "replace").translate(FOLD)
 
 
 def sentence_starts(text: bytes) -> list[int]:
+    """Where sentences start. A phrase in quotes or brackets without a stop of its own goes with the sentence before it."""
     starts = [0]
+    m = PHRASE.match(text)
+    held = m.end() if m else 0
     for m in END.finditer(text):
-        if m.end() - starts[-1] >= SHORT and len(text) - m.end() >= SHORT:
-            starts.append(m.end())
+        at = m.end()
+        while q := PHRASE.match(text, at):
+            at = q.end()
+        if at > held and at - starts[-1] >= SHORT and len(text) - at >= SHORT:
+            starts.append(at)
     return starts
 
 
@@ -181,36 +195,40 @@ class Trees:
 WORDS = re.compile(r"[^\W\d_]+")
 
 
-def settle(sentences: list[tuple[str, bytes]], rounds: int = 3) -> list[str]:
-    """The language of each labelled sentence, by the words it has: labels are often wrong for a rare language.
+def settle(bodies: list[tuple[str, list[bytes]]], rounds: int = 3, together: float = 6.0) -> list[list[str]]:
+    """The language of each sentence of labelled bodies, by the words it has: labels are often wrong for a rare language.
 
     A word speaks for the languages in whose share of the sample it is common. Words of another language that slipped
-    in under a wrong label are rarer there than under their own, so a sentence of several words finds its language.
+    in under a wrong label are rarer there than under their own, so a body finds its language; a sentence leaves its
+    body's language only if its words say so clearly (by ``together`` nats).
     """
-    words = [WORDS.findall(s.decode("utf-8", "replace")) for _, s in sentences]
-    names = [lang for lang, _ in sentences]
+    words = [[WORDS.findall(s.decode("utf-8", "replace")) for s in ss] for _, ss in bodies]
+    names = [[lang] * len(ss) for lang, ss in bodies]
     for _ in range(rounds):
         counts: dict[str, Counter] = defaultdict(Counter)
-        for lang, ws in zip(names, words, strict=True):
-            counts[lang].update(ws)
-        sizes = {k: sum(c.values()) for k, c in counts.items()}
-        names = [
-            max(counts, key=lambda k: (sum(math.log((counts[k][w] + 0.01) / (sizes[k] + 100.0)) for w in ws), k == lang)) if ws else lang
-            for lang, ws in zip(names, words, strict=True)
-        ]
+        for ns, wss in zip(names, words, strict=True):
+            for lang, ws in zip(ns, wss, strict=True):
+                counts[lang].update(ws)
+        sizes = {k: math.log(sum(c.values()) + 100.0) for k, c in counts.items()}
+        names = []
+        for (lang, _), wss in zip(bodies, words, strict=True):
+            each = [{k: sum(math.log(c[w] + 0.01) - sizes[k] for w in ws) for k, c in counts.items()} for ws in wss]
+            body = max(counts, key=lambda k: (sum(x[k] for x in each), k == lang))  # noqa: B023
+            names.append([max(counts, key=lambda k: (x[k] + together * (k == body), k == body)) for x in each])  # noqa: B023
     return names
 
 
 def train(bodies: list[tuple[str, str]], order: int = ORDER) -> Trees:
     """Trees from (language, body) rows with noisy labels."""
-    sentences: list[tuple[str, bytes]] = []
+    cut: list[tuple[str, list[bytes]]] = []
     for lang, body in sorted(bodies):
         text = prepare(body[:TRAIN_BYTES])
         starts = [*sentence_starts(text), len(text)]
-        sentences += [(lang, text[a:b]) for a, b in zip(starts, starts[1:], strict=False) if b > a]
+        cut.append((lang, [text[a:b] for a, b in zip(starts, starts[1:], strict=False) if b > a]))
     clean: dict[str, list[bytes]] = defaultdict(list)
-    for lang, (_, s) in zip(settle(sentences), sentences, strict=True):
-        clean[lang].append(s)
+    for (_, sentences), names in zip(cut, settle(cut), strict=True):
+        for lang, s in zip(names, sentences, strict=True):
+            clean[lang].append(s)
     return Trees({k: b"\n".join(v) for k, v in clean.items()}, order)
 
 
@@ -294,7 +312,7 @@ def segments(trees: Trees, bodies: list[str | None]) -> list[list[tuple[int, str
         ends: list[int] = []
         if cuts:
             text = texts[i]
-            ends = _offsets(body, [len(text[: starts[a + k] - base].decode("utf-8", "replace").replace(" ", "")) for k in cuts])
+            ends = _offsets(masked(body), [len(text[: starts[a + k] - base].decode("utf-8", "replace").replace(" ", "")) for k in cuts])
         edges = [0, *ends, len(body)]
         out.append([(n + 1, LANGUAGES[way[x]], confidence(bits[a + x : a + y].sum(axis=0), way[x]), edges[n], edges[n + 1]) for n, (x, y) in enumerate(spans)])
     return out

@@ -246,3 +246,13 @@ def test_reflow():
     lex = S.Lexicon({"well": 50, "known": 50, "wellness": 50}, True, S.np.zeros((1, 2)), S.np.zeros((1, 2)), {})
     assert S.repair("a well-\nknown thing.", None, set(), lex, True) == ([], "a well-known thing.")
     assert S.repair("so much well-\nness.", None, set(), lex)[0] == ["hyphen"]
+
+
+def test_phrases_and_code_make_no_segment(trees):
+    for extra in ("«Les jetons partagés».", "[Мы видели, что]", '("Man erkennt außerdem").', "```\nfor item in shelf:\n    yield item\n```"):
+        for body in (TEXTS["english"] + extra, extra + " " + TEXTS["english"], TEXTS["english"] + extra + "\n" + TEXTS["english"]):
+            assert [s[1] for s in ppm.segments(trees, [body])[0]] == ["english"]
+    code = TEXTS["english"] + "```\n" + "x = 1\n" * 20 + "```\n" + TEXTS["german"]
+    got = ppm.segments(trees, [code])[0]
+    assert [s[1] for s in got] == ["english", "german"] and code[got[1][3] :].startswith("Deshalb")
+    assert ppm.segments(trees, [TEXTS["russian"].upper()])[0][0][1] == "russian"
