@@ -42,13 +42,14 @@ def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def salted_row_number(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", salts: int = 64) -> DataFrame:
+def salted_row_number(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", salts: int | None = None) -> DataFrame:
     """Number the rows of each key from 1 without putting a hot key into one task.
 
-    Rows of a key are spread over ``salts`` by a hash of ``order``; the number of a row is its number within
+    Rows of a key are spread over ``salts`` (as many as shuffle partitions, 64 at least) by a hash of ``order``; the number of a row is its number within
     (key, salt) plus the rows of the lower salts. The order within a key is thus by (salt, order): arbitrary but
     reproducible. ``order`` must identify a row.
     """
+    salts = salts or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
     salted = df.withColumn("_salt", salt)
     sizes = salted.groupBy(*keys, "_salt").count()
