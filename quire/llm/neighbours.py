@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 from quire.runtime import materialise, maybe_broadcast
 
 K = 10
+#: Entries a point keeps, and entries (own and reverse) that are walked from a point in a round.
 WIDTH = 20
-REVERSE = 20
+HOP = 10
 TREES = 4
 ROUNDS = 5
 #: Rounds end when one brings in a smaller share of entries than this.
@@ -162,10 +163,11 @@ def _block_start(df: pd.DataFrame) -> pd.DataFrame:
         sims = m[at : at + 512] @ m.T
         sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -9
         out += _best(sims, ids, WIDTH)
-    return pd.DataFrame({"id": ids, "near": [[{"sim": s, "id": i} for s, i in zip(v, n, strict=True)] for n, v in out]})
+    return pd.DataFrame({"id": ids, "near": [[{"sim": s, "id": i, "new": True} for s, i in zip(v, n, strict=True)] for n, v in out]})
 
 
-_NEAR = "array<struct<sim:float,id:long>>"
+#: Numbers as block ids: they sort without comparing texts.
+_NEAR = "array<struct<sim:float,id:long,new:boolean>>"
 
 
 def start(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11) -> tuple[DataFrame, DataFrame]:
@@ -181,65 +183,83 @@ def start(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11
 
     laid = materialise(pts.select("id", "v").mapInPandas(assign, "id long, v binary, tree int, leaf long"), "laid")
     sizes = laid.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("split"))
-    blocks = laid.join(maybe_broadcast(sizes), ["tree", "leaf"]).withColumn("block", F.concat_ws(":", "tree", "leaf", F.pmod(F.xxhash64("id", "tree"), F.col("split"))))
+    blocks = laid.join(maybe_broadcast(sizes), ["tree", "leaf"]).withColumn("block", (F.col("leaf") * trees + F.col("tree")) * 100_000 + F.pmod(F.xxhash64("id", "tree"), F.col("split")))
     near = blocks.select("block", "id", "v").groupBy("block").applyInPandas(_block_start, f"id long, near {_NEAR}")
     merged = near.select("id", F.explode_outer("near").alias("x")).groupBy("id").agg(F.slice(F.sort_array(F.collect_set("x"), asc=False), 1, WIDTH).alias("near"))
     return blocks.where("tree = 0").select("id", "block"), merged.select("id", "near")
 
 
-def _round(df: pd.DataFrame) -> pd.DataFrame:
-    """One block: own points (own = True) and all points within two steps, each with its list and vector."""
-    df = df.sort_values(["id", "own"], ascending=[True, False]).drop_duplicates("id")
-    ids = df["id"].to_numpy()
-    m = _matrix(df["v"])
-    lists = [np.asarray(x, dtype=np.int64) if x is not None else np.zeros(0, dtype=np.int64) for x in df["fwd"]]
-    back = [np.asarray(x, dtype=np.int64) if x is not None else np.zeros(0, dtype=np.int64) for x in df["rev"]]
+_NONE = np.zeros(0, dtype=np.int64)
 
-    def local(xs: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(ids, xs)
-        at[at == len(ids)] = 0
-        return at[ids[at] == xs]
 
-    fwd = [local(x) for x in lists]
-    rows = np.flatnonzero(df["own"].to_numpy())
+def _round(df: pd.DataFrame) -> pd.DataFrame:
+    """One block: own points with their lists, points next to them with what they lead to, and points met, with vectors."""
+    ids_of = lambda c, rows: [np.asarray(x, dtype=np.int64) if x is not None else _NONE for x in df[c].to_numpy()[rows]]
+    kind = df["kind"].to_numpy()
+    at_hand = np.flatnonzero(kind != 1)  # own points and met ones have vectors
+    ids = df["id"].to_numpy()
+    order = at_hand[np.argsort(ids[at_hand], kind="stable")]
+    known, first = np.unique(ids[order], return_index=True)
+    m = _matrix(df["v"].to_numpy()[order[first]])
+    steps = np.flatnonzero(kind == 1)
+    leads = dict(zip(ids[steps].tolist(), zip(ids_of("fwd", steps), ids_of("fresh", steps), strict=True), strict=True))
+    own = np.flatnonzero(kind == 0)
     out = []
-    for u in rows:
-        first = np.concatenate([fwd[u], local(back[u])])
-        cand = np.unique(np.concatenate([first, *(fwd[x] for x in first)])) if len(first) else first
-        cand = cand[cand != u]
-        sims = m[cand] @ m[u]
-        top = np.argsort(-sims, kind="stable")[:WIDTH] if len(sims) <= WIDTH else (p := np.argpartition(-sims, WIDTH)[:WIDTH])[np.argsort(-sims[p], kind="stable")]
-        out.append([{"sim": float(s), "id": int(i)} for s, i in zip(sims[top], ids[cand[top]], strict=True)])
-    return pd.DataFrame({"id": ids[rows], "near": out})
+    for u, near, fresh, old in zip(ids[own].tolist(), df["near"].to_numpy()[own], ids_of("fresh", own), ids_of("old", own), strict=True):
+        parts = [fresh, *(leads[x][0] for x in fresh.tolist() if x in leads), *(leads[x][1] for x in old.tolist() if x in leads)]
+        cand = np.unique(np.concatenate(parts))
+        at = np.searchsorted(known, cand)
+        at[at == len(known)] = 0
+        at = at[(known[at] == cand) & (cand != u)] if len(known) else _NONE
+        have = {x["id"]: x["sim"] for x in near}
+        mine = int(np.searchsorted(known, u))
+        sims = m[at] @ m[mine]
+        least = min(have.values()) if len(have) >= WIDTH else -2.0
+        good = np.flatnonzero(sims > least)
+        met = {i: s for i, s in zip(known[at[good]].tolist(), sims[good].tolist(), strict=True) if i not in have}
+        best = sorted([(-s, i, False) for i, s in have.items()] + [(-s, i, True) for i, s in met.items()])[:WIDTH]
+        out.append([{"sim": -s, "id": i, "new": n} for s, i, n in best])
+    return pd.DataFrame({"id": ids[own], "near": out})
 
 
 def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
-    """One round: neighbours of neighbours, brought to the block of every point."""
-    edges = near.select("id", F.explode("near").alias("x")).select("id", F.col("x.id").alias("to"), F.col("x.sim").alias("sim"))
+    """One round: neighbours of neighbours, brought to the block of every point.
+
+    As in the method, only pairs with an entry that is new since the last round are looked at: from a new neighbour all
+    it leads to, from an old one what is new there.
+    """
+    top = near.select("id", "near", F.slice("near", 1, HOP).alias("n"))
+    pick = lambda c, flag: F.transform(F.filter(c, lambda x: x.new if flag else ~x.new), lambda x: x.id)
     # of the points that list a point the most similar ones; sort_array over the partial lists needs no window
-    rev = edges.groupBy("to").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "id")), asc=False), 1, REVERSE).alias("r")).select(F.col("to").alias("id"), F.transform("r", lambda x: x.id).alias("rev"))
-    lists = near.select("id", F.transform("near", lambda x: x.id).alias("fwd")).join(rev, "id", "left").join(home, "id").join(pts.select("id", "v"), "id")
+    edges = top.select("id", F.explode("n").alias("x")).select(F.col("x.id").alias("to"), F.struct(F.col("x.sim").alias("sim"), F.col("id"), F.col("x.new").alias("new")).alias("e"))
+    rev = edges.groupBy("to").agg(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, HOP).alias("r")).withColumnRenamed("to", "id")
+    none = F.array().cast("array<long>")
+    lists = top.join(rev, "id", "left").join(home, "id").join(pts.select("id", "v"), "id")
+    lists = lists.select(
+        "id", "block", "v", "near", F.transform("n", lambda x: x.id).alias("fwd"), pick("n", True).alias("fwd_new"),
+        F.array_union(pick("n", True), F.coalesce(pick("r", True), none)).alias("fresh"), F.array_union(pick("n", False), F.coalesce(pick("r", False), none)).alias("old"),
+    )
     lists = materialise(lists, "lists")
-    empty = F.array().cast("array<long>")
-    around = F.array_distinct(F.concat("fwd", F.coalesce("rev", empty)))
-    first = lists.select("block", F.explode(around).alias("id")).distinct()
-    first = first.join(lists.select("id", "fwd", "v"), "id")
-    second = first.select("block", F.explode("fwd").alias("id")).distinct()
-    beyond = second.join(first.select("block", "id"), ["block", "id"], "left_anti").join(lists.select("id", "v"), "id")
-    none = F.lit(None).cast("array<long>")
+    by_new = lists.select("block", F.explode("fresh").alias("id"), F.lit(True).alias("all"))
+    by_old = lists.select("block", F.explode("old").alias("id"), F.lit(False).alias("all"))
+    stops = by_new.unionByName(by_old).groupBy("block", "id").agg(F.bool_or("all").alias("all"))
+    steps = stops.join(lists.select("id", "fwd", "fwd_new"), "id").where(F.col("all") | (F.size("fwd_new") > 0))
+    steps = materialise(steps.select("block", "id", F.when(F.col("all"), F.col("fwd")).otherwise(none).alias("fwd"), F.col("fwd_new").alias("fresh")), "steps")
+    met = steps.select("block", F.explode(F.array_union("fwd", "fresh")).alias("id")).unionByName(by_new.select("block", "id")).distinct()
+    met = met.join(lists.select("id", "v"), "id")
+    no_ids, no_near, no_v = F.lit(None).cast("array<long>"), F.lit(None).cast(_NEAR), F.lit(None).cast("binary")
     everything = (
-        lists.select("block", "id", F.lit(True).alias("own"), "v", "fwd", "rev")
-        .unionByName(first.select("block", "id", F.lit(False).alias("own"), "v", "fwd", none.alias("rev")))
-        .unionByName(beyond.select("block", "id", F.lit(False).alias("own"), "v", none.alias("fwd"), none.alias("rev")))
+        lists.select("block", "id", F.lit(0).alias("kind"), "v", "near", "fwd", "fresh", "old")
+        .unionByName(steps.select("block", "id", F.lit(1).alias("kind"), no_v.alias("v"), no_near.alias("near"), "fwd", "fresh", no_ids.alias("old")))
+        .unionByName(met.select("block", "id", F.lit(2).alias("kind"), "v", no_near.alias("near"), no_ids.alias("fwd"), no_ids.alias("fresh"), no_ids.alias("old")))
     )
     return everything.groupBy("block").applyInPandas(_round, f"id long, near {_NEAR}")
 
 
-def changed(before: DataFrame, after: DataFrame) -> float:
+def changed(after: DataFrame) -> float:
     """Share of the entries of the first K places that a round brought in."""
-    a = after.select("id", F.transform(F.slice("near", 1, K), lambda x: x.id).alias("a"))
-    both = a.join(before.select("id", F.transform(F.slice("near", 1, K), lambda x: x.id).alias("b")), "id")
-    r = both.agg(F.sum(F.size(F.array_except("a", "b"))).alias("new"), F.sum(F.size("a")).alias("all")).first()
+    top = F.slice("near", 1, K)
+    r = after.agg(F.sum(F.size(F.filter(top, lambda x: x.new))).alias("new"), F.sum(F.size(top)).alias("all")).first()
     return (r["new"] or 0) / max(1, r["all"] or 0)
 
 
@@ -251,9 +271,9 @@ def graph(pts: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> Dat
     home, near = start(pts)
     home, near = materialise(home, "home"), materialise(near, "near")
     for _ in range(rounds):
-        before, near = near, materialise(descend(pts, home, near), "near")
+        near = materialise(descend(pts, home, near), "near")
         pts.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of earlier rounds can go
-        if changed(before, near) < settled:
+        if changed(near) < settled:
             break
     return near
 
