@@ -247,7 +247,8 @@ def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
     steps = materialise(steps.select("block", "id", F.when(F.col("all"), F.col("fwd")).otherwise(none).alias("fwd"), F.col("fwd_new").alias("fresh")), "steps")
     met = steps.select("block", F.explode(F.array_union("fwd", "fresh")).alias("id")).unionByName(by_new.select("block", "id")).distinct()
     met = met.join(lists.select("id", "v"), "id")
-    no_ids, no_near, no_v = F.lit(None).cast("array<long>"), F.lit(None).cast(_NEAR), F.lit(None).cast("binary")
+    # empty lists, not nulls: the Arrow writer goes over a run of null lists again for every row of it
+    no_ids, no_near, no_v = none, F.array().cast(_NEAR), F.lit(None).cast("binary")
     everything = (
         lists.select("block", "id", F.lit(0).alias("kind"), "v", "near", "fwd", "fresh", "old")
         .unionByName(steps.select("block", "id", F.lit(1).alias("kind"), no_v.alias("v"), no_near.alias("near"), "fwd", "fresh", no_ids.alias("old")))
