@@ -27,11 +27,9 @@ from pyspark.sql import functions as F
 from quire.runtime import materialise, maybe_broadcast
 
 K = 10
-#: Entries a point keeps, and entries (own and reverse) that are walked from a point in a round.
+#: Entries a point keeps; a round walks all of them and as many reverse ones.
 WIDTH = 20
-HOP = 10
 TREES = 4
-ROUNDS = 5
 #: Rounds end when one brings in a smaller share of entries than this.
 SETTLED = 0.03
 BLOCK = 1200
@@ -228,11 +226,11 @@ def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
     As in the method, only pairs with an entry that is new since the last round are looked at: from a new neighbour all
     it leads to, from an old one what is new there.
     """
-    top = near.select("id", "near", F.slice("near", 1, HOP).alias("n"))
+    top = near.select("id", "near", F.col("near").alias("n"))
     pick = lambda c, flag: F.transform(F.filter(c, lambda x: x.new if flag else ~x.new), lambda x: x.id)
     # of the points that list a point the most similar ones; sort_array over the partial lists needs no window
     edges = top.select("id", F.explode("n").alias("x")).select(F.col("x.id").alias("to"), F.struct(F.col("x.sim").alias("sim"), F.col("id"), F.col("x.new").alias("new")).alias("e"))
-    rev = edges.groupBy("to").agg(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, HOP).alias("r")).withColumnRenamed("to", "id")
+    rev = edges.groupBy("to").agg(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, WIDTH).alias("r")).withColumnRenamed("to", "id")
     none = F.array().cast("array<long>")
     lists = top.join(rev, "id", "left").join(home, "id").join(pts.select("id", "v"), "id")
     lists = lists.select(
@@ -264,14 +262,14 @@ def changed(after: DataFrame) -> float:
     return (r["new"] or 0) / max(1, r["all"] or 0)
 
 
-def graph(pts: DataFrame, rounds: int = ROUNDS, settled: float = SETTLED) -> DataFrame:
+def graph(pts: DataFrame, settled: float = SETTLED, block: int = BLOCK) -> DataFrame:
     """(id, near): for every point its most similar others, best first.
 
-    Rounds end when one brings in less than ``settled`` of the entries, or after ``rounds``.
+    Rounds end when one brings in less than ``settled`` of the entries; lists only get better, so one does.
     """
-    home, near = start(pts)
+    home, near = start(pts, block)
     home, near = materialise(home, "home"), materialise(near, "near")
-    for _ in range(rounds):
+    while True:
         near = materialise(descend(pts, home, near), "near")
         pts.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of earlier rounds can go
         if changed(near) < settled:

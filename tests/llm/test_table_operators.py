@@ -49,6 +49,16 @@ def test_recall_against_brute_force(spark, cloud):
     assert np.mean([len(hits[i] & {i, *want[i][:9]}) / 10 for i in hits]) > 0.9
 
 
+def test_rounds_walk_every_kept_entry(spark):
+    angles = [0.0, *(0.1 + 0.01 * i for i in range(1, N.WIDTH + 1)), 0.01]
+    pts = spark.createDataFrame([(i, bytearray(np.array([np.cos(a), np.sin(a)], dtype=np.float16).tobytes())) for i, a in enumerate(angles)], "id long, v binary")
+    home = pts.select("id", F.lit(0).cast("long").alias("block"))
+    lists = [(0, [(float(np.cos(angles[i])), i, True) for i in range(1, N.WIDTH + 1)]), (15, [(0.99, N.WIDTH + 1, True)])]
+    near = spark.createDataFrame(lists + [(i, []) for i in range(1, N.WIDTH + 2) if i != 15], "id long, near array<struct<sim:float,id:long,new:boolean>>")
+    got = N.descend(pts, home, near).where("id = 0").first()
+    assert got.near[0].id == N.WIDTH + 1  # reached from the fifteenth entry alone
+
+
 def test_copies_and_unusable_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(30)] + [(100, [2.0, 4.0, 6.1]), (101, [-1.0, 0.0, 0.5]), (102, None), (103, [0.0, 0.0, 0.0]), (104, [1.0, None, 2.0]), (105, [1.0, 2.0]), (106, [float("nan"), 1.0, 1.0]), (100, [2.0, 4.0, 6.1]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
