@@ -7,8 +7,8 @@ points and the neighbours of those, each vector once per block, and every point
 A block larger than intended, as in a dense topic, is split by a hash, so no task grows with a hot group; what the
 split parts, the rounds bring together again.
 
-Queries walk the graph greedily (``search``): from a few entry points, expand the most similar points not yet
-expanded until none improves the best.
+Queries walk the graph greedily (``search``): from entry points of the whole and of the query's own blocks, expand the
+most similar points not yet expanded until all that are kept are expanded.
 
 Vectors that are null, hold null or other than finite numbers, are all zeros, or have another length than most take no
 part. Lists of copies are cut by id only where the copies alone fill the k places. The width of lists during the
@@ -17,6 +17,7 @@ rounds bounds the search as in the published method; recall against brute force
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,9 @@ TREES = 4
 SETTLED = 0.03
 BLOCK = 1200
 FIT_ROWS = 20_000
+#: Entry points drawn from all points, and from every block of every tree.
 ENTRIES = 256
+BLOCK_ENTRIES = 32
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -168,8 +171,8 @@ def _block_start(df: pd.DataFrame) -> pd.DataFrame:
 _NEAR = "array<struct<sim:float,id:long,new:boolean>>"
 
 
-def start(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11) -> tuple[DataFrame, DataFrame]:
-    """(id, block) of the first tree, and the starting lists (id, near)."""
+def laid_out(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11, also: DataFrame | None = None) -> DataFrame:
+    """(id, v, block, tree): the block of every point in each tree; of ``also`` (id, v) too, with a column own = False."""
     spark = pts.sparkSession
     total = pts.count()
     sample = pts.select("v").orderBy(F.xxhash64("id")).limit(FIT_ROWS).collect()  # the bounded sample the trees are fitted on
@@ -179,9 +182,16 @@ def start(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _assign(shared.value)(batches)
 
-    laid = materialise(pts.select("id", "v").mapInPandas(assign, "id long, v binary, tree int, leaf long"), "laid")
+    lay = lambda df: df.select("id", "v").mapInPandas(assign, "id long, v binary, tree int, leaf long")
+    laid = materialise(lay(pts), "laid")
     sizes = laid.groupBy("tree", "leaf").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("split"))
-    blocks = laid.join(maybe_broadcast(sizes), ["tree", "leaf"]).withColumn("block", (F.col("leaf") * trees + F.col("tree")) * 100_000 + F.pmod(F.xxhash64("id", "tree"), F.col("split")))
+    every = laid if also is None else laid.withColumn("own", F.lit(True)).unionByName(lay(also).withColumn("own", F.lit(False)))
+    return every.join(maybe_broadcast(sizes), ["tree", "leaf"]).withColumn("block", (F.col("leaf") * trees + F.col("tree")) * 100_000 + F.pmod(F.xxhash64("id", "tree"), F.col("split"))).drop("leaf", "split")
+
+
+def start(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """(id, block) of the first tree, and the starting lists (id, near)."""
+    blocks = laid_out(pts, block, trees, seed)
     near = blocks.select("block", "id", "v").groupBy("block").applyInPandas(_block_start, f"id long, near {_NEAR}")
     merged = near.select("id", F.explode_outer("near").alias("x")).groupBy("id").agg(F.slice(F.sort_array(F.collect_set("x"), asc=False), 1, WIDTH).alias("near"))
     return blocks.where("tree = 0").select("id", "block"), merged.select("id", "near")
@@ -301,11 +311,25 @@ def nearest(pts: DataFrame, edges: DataFrame, who: DataFrame, k: int = K) -> Dat
     return each.select("vec_id", F.posexplode("top").alias("p", "x")).select("vec_id", (F.col("p") + 1).alias("rank"), F.col("x.o").alias("neighbour"), (-F.col("x.d")).alias("similarity"))
 
 
-def search(pts: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, beam: int = 32, rounds: int = 8, step: int = 4) -> DataFrame:
+def _halved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield pd.DataFrame({"id": b["query_id"], "v": [np.frombuffer(x, dtype=np.float64).astype(np.float16).tobytes() for x in b["e"]]})
+
+
+def entries(pts: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(query_id, id): points of the query's block in every tree, so that their density does not fall as data grow."""
+    laid = laid_out(pts, block, also=queries.select("query_id", "e").mapInPandas(_halved, "id long, v binary")).drop("v")
+    drawn = F.slice(F.sort_array(F.collect_list(F.struct(F.xxhash64("id", "tree").alias("h"), "id"))), 1, BLOCK_ENTRIES)
+    here = laid.where("own").groupBy("block").agg(drawn.alias("some"))
+    return laid.where("NOT own").select("block", F.col("id").alias("query_id")).join(here, "block").select("query_id", F.explode("some.id").alias("id")).distinct()
+
+
+def search(pts: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, beam: int = 32, step: int = 4, block: int = BLOCK) -> DataFrame:
     """Greedy search: queries (query_id, e as 8-byte unit vector) -> (query_id, rank, id, similarity).
 
-    Each round expands, for every query at once, the ``step`` best points not expanded yet; ``beam`` points are kept.
-    The ``ENTRIES`` entry points are a bounded sample of all points.
+    Each round expands, for every query that has such, the ``step`` best points not expanded yet; ``beam`` points are
+    kept. Rounds end when no query keeps a point that is not expanded; a point is met once, so one does. Entry points
+    are a bounded sample of all points and some of each block that the query falls into.
     """
     entry = pts.orderBy(F.xxhash64("id")).limit(ENTRIES).select("id", "e")
 
@@ -313,12 +337,19 @@ def search(pts: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, beam
         named = pairs.select(F.col("query_id").alias("id"), F.col("id").alias("to"), F.col("q").alias("ea"), F.col("e").alias("eb"))
         return named.mapInPandas(_exact, "id long, to long, sim double").select(F.col("id").alias("query_id"), F.col("to").alias("id"), "sim")
 
-    q = queries.select("query_id", F.col("e").alias("q"))
-    met = dots(q.crossJoin(F.broadcast(entry)))  # every query meets the few entry points
+    q = materialise(queries.select("query_id", F.col("e").alias("q")), "queries")
+    beside = entries(pts, queries, block).join(entry.select("id"), "id", "left_anti").join(pts.select("id", "e"), "id").join(q, "query_id")
+    met = dots(q.crossJoin(F.broadcast(entry))).unionByName(dots(beside))  # every query meets the few entry points
     kept = F.slice(F.sort_array(F.collect_list(F.struct("sim", "id", F.lit(False).alias("done"))), asc=False), 1, beam)
     state = materialise(met.groupBy("query_id").agg(kept.alias("best")).withColumn("seen", F.transform("best", lambda x: x.id)), "state")
     links = near.select("id", F.transform("near", lambda x: x.id).alias("fwd"))
-    for _ in range(rounds):
+    waits = F.exists("best", lambda x: ~x.done)
+    ended = []
+    while True:
+        ended.append(state.where(~waits).select("query_id", "best"))
+        state = state.where(waits)
+        if state.isEmpty():
+            break
         open_ = F.slice(F.filter("best", lambda x: ~x.done), 1, step)
         going = state.withColumn("go", F.transform(open_, lambda x: x.id))
         hop = going.select("query_id", "seen", F.explode("go").alias("id")).join(links, "id").select("query_id", F.explode(F.array_except("fwd", "seen")).alias("id")).distinct()
@@ -330,4 +361,5 @@ def search(pts: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, beam
             both.select("query_id", F.slice(F.sort_array(F.concat(marked, fresh), asc=False), 1, beam).alias("best"), F.array_union("seen", F.transform(fresh, lambda x: x.id)).alias("seen")),
             "state",
         )
+    state = functools.reduce(DataFrame.unionByName, ended)
     return state.select("query_id", F.posexplode(F.slice("best", 1, k)).alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.id").alias("id"), F.col("x.sim").alias("similarity"))

@@ -59,6 +59,19 @@ def test_rounds_walk_every_kept_entry(spark):
     assert got.near[0].id == N.WIDTH + 1  # reached from the fifteenth entry alone
 
 
+def test_search_goes_on_until_all_is_expanded(spark, monkeypatch):
+    angles = np.linspace(0, 2.8, 240)  # a chain: only the walk along it leads from the entry to the query
+    e = [np.array([np.cos(a), np.sin(a)]) for a in angles]
+    pts = spark.createDataFrame([(i, bytearray(x.astype(np.float16).tobytes()), bytearray(x.tobytes())) for i, x in enumerate(e)], "id long, v binary, e binary")
+    near = spark.createDataFrame([(i, [(float(e[i] @ e[j]), j, False) for j in (i - 1, i + 1) if 0 <= j < 240]) for i in range(240)], "id long, near array<struct<sim:float,id:long,new:boolean>>")
+    first = pts.orderBy(F.xxhash64("id")).first().id
+    monkeypatch.setattr(N, "ENTRIES", 1)
+    monkeypatch.setattr(N, "BLOCK_ENTRIES", 0, raising=False)
+    goal = first + 20 if first < 120 else first - 20
+    asked = pts.where(F.col("id") == goal).select(F.lit(7).cast("long").alias("query_id"), "e")
+    assert N.search(pts, near, asked, k=1, beam=4).first().id == goal
+
+
 def test_copies_and_unusable_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(30)] + [(100, [2.0, 4.0, 6.1]), (101, [-1.0, 0.0, 0.5]), (102, None), (103, [0.0, 0.0, 0.0]), (104, [1.0, None, 2.0]), (105, [1.0, 2.0]), (106, [float("nan"), 1.0, 1.0]), (100, [2.0, 4.0, 6.1]), (None, [1.0, 1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
