@@ -93,6 +93,20 @@ def test_few_vectors(spark):
     assert N.nearest(pts, N.scored(pts, N.graph(pts)), N.members(one)).count() == 0
 
 
+# ---- 1
+
+
+def test_two_typos_leave_a_key(spark, monkeypatch):
+    schema = "id long, title string, persons string, issued string"
+    files = spark.createDataFrame([(1, "Dense schemas opaque partitions remote", "Ana Morozova", "2001"), (2, "Quiet ledgers amber harbours broken valleys distant orchards", None, None)], schema)
+    cited = spark.createDataFrame([(11, "Dense schemas opaqeu partitions remoet", None, None), (12, "Quiet ledgers abmer harbours borken vallyes distant orchards", None, None)], schema)
+    a, b = M.records(files, spread=1)[0].cache(), M.records(cited)[0].cache()
+    pairs = lambda: {(r.a, r.b) for r in M.candidates(a, b).where("kind = 'across'").collect()}
+    assert {(1, 11), (2, 12)} <= pairs()
+    monkeypatch.setattr(M, "KEY_PAIRS", 0)  # every wide key split: a further word anywhere is enough
+    assert (2, 12) in pairs()
+
+
 # ---- 8
 
 
