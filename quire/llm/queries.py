@@ -16,10 +16,10 @@ def _matches(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "sources").where(F.col("kind").isin("book", "paper"))
     meta = table(spark, d, "source_meta").select("source_id", "author", "issued")
     first = files.select("source_id", "title").join(meta, "source_id", "left").select(F.col("source_id").alias("id"), "title", F.col("author").alias("persons"), "issued")
-    cited = table(spark, d, "citations").select("citation_id", "paper", "title", "authors", "year", "raw").distinct()
-    # an entry whose title was not taken from the printed line: what stands in quotation marks there
-    quoted = F.nullif(F.trim(F.regexp_extract("raw", "[“\"«]([^”\"»]{12,}?),?[”\"»]", 1)), F.lit(""))
-    second = cited.select(F.col("citation_id").alias("id"), F.coalesce("title", quoted).alias("title"), F.col("authors").alias("persons"), F.col("year").cast("string").alias("issued"))
+    cited = table(spark, d, "citations").select("citation_id", "paper", "title", "authors", "year", "container", "raw").distinct()
+    # an entry whose title was not taken from the printed line
+    printed = matching.printed_title(F.col("raw"), F.col("authors"), F.col("container"))
+    second = cited.select(F.col("citation_id").alias("id"), F.coalesce("title", printed).alias("title"), F.col("authors").alias("persons"), F.col("year").cast("string").alias("issued"))
     found = matching.match(first, second).withColumnRenamed("id", "source_id").withColumnRenamed("id2", "citation_id")
     own = files.select("source_id", "hash").join(cited.select("citation_id", F.col("paper").alias("hash")).distinct(), "hash").select("source_id", "citation_id")
     return found.join(own, ["source_id", "citation_id"], "left_anti")

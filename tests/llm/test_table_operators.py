@@ -107,6 +107,19 @@ def test_two_typos_leave_a_key(spark, monkeypatch):
     assert (2, 12) in pairs()
 
 
+def test_title_left_in_a_printed_entry(spark):
+    rows = [
+        ("[8] Paula Kornaisted, Milo Drenusted. LAYERED FRAGMENTS IN STATIONS. Journal of Quiet Computing, 2018. doi:10.70577/e98606", "Paula Kornaisted, Milo Drenusted", "Journal of Quiet Computing"),
+        ("18. A. Quoreirell (2024). Durable Probes and Footnotes. Trudy Instituta.", "A. Quoreirell", None),
+        ("(17) R. P. Quorinsen. COMPACT FRAGMENTS: LESSONS FROM ARCHIVES // Lowland Press. — 2020.", "R. P. Quorinsen", None),
+        ("J. Doe. “Quoted ledgers of towns,” Press, 2001.", None, None),
+        ("Durable Probes and Footnotes", None, None),
+    ]
+    df = spark.createDataFrame(rows, "raw string, authors string, container string")
+    got = [r[0] for r in df.select(M.printed_title(F.col("raw"), F.col("authors"), F.col("container"))).collect()]
+    assert got == ["LAYERED FRAGMENTS IN STATIONS", "Durable Probes and Footnotes", "COMPACT FRAGMENTS: LESSONS FROM ARCHIVES", "Quoted ledgers of towns", None]
+
+
 # ---- 8
 
 
