@@ -49,6 +49,15 @@ def test_recall_against_brute_force(spark, cloud):
     assert np.mean([len(hits[i] & {i, *want[i][:9]}) / 10 for i in hits]) > 0.9
 
 
+def test_recall_over_many_blocks(spark, cloud):
+    ids, m, df = cloud
+    pts = N.points(df).cache()
+    assert N.start(pts, block=60)[0].select("block").distinct().count() > 15
+    want = brute(ids, m, 10)
+    got = {r.id: {x.id for x in r.near[:10]} for r in N.graph(pts, block=60).collect()}
+    assert np.mean([len(got[i] & set(w)) / 10 for i, w in want.items()]) > 0.98
+
+
 def test_rounds_walk_every_kept_entry(spark):
     angles = [0.0, *(0.1 + 0.01 * i for i in range(1, N.WIDTH + 1)), 0.01]
     pts = spark.createDataFrame([(i, bytearray(np.array([np.cos(a), np.sin(a)], dtype=np.float16).tobytes())) for i, a in enumerate(angles)], "id long, v binary")
