@@ -1,46 +1,58 @@
 """Noise in text from scanned pages (problem 2).
 
 1. Words of the whole collection are counted, with words broken over lines joined for the count.
-2. Skip-gram vectors with negative sampling are trained for the ``VECTOR_WORDS`` most frequent words. Pairs of words
-   within a window are counted over all texts (frequent words are subsampled by a hash, as the method does); the
-   vectors are learned from the counts, a table bounded by the square of that number.
-3. A word is suspect if a far more frequent word turns into it by plausible glyph edits. Candidates come from
-   skeletons, in which glyphs that scanners mix up look the same, and are verified by an alignment.
-4. Where a suspect stands in a text, the vectors of its neighbours tell whether, and which, frequent word fits there.
-5. Furniture at the edges of a page is removed: page numbers, and running headers, which are like the work's title
+2. Words that look alike to a scanner meet by their skeletons, in which glyphs that scanners mix up are the same, and
+   are verified by an alignment. A word and a far more frequent one that turns into it make a possible link.
+3. Skip-gram vectors with negative sampling: pairs of words within a window are counted over all texts (frequent words
+   are subsampled by a hash, as the method does). Vectors of the ``CONTEXTS`` most frequent words as contexts are learned
+   from their own counts by alternating Newton steps, a table bounded by the square of that number; with these every
+   word of a possible link, rare or frequent, gets its own vector from all its counts, in the executors.
+4. A link holds if the frequent word is a neighbour of the rare one in vector space. A word without a vector links to
+   nothing.
+5. Where a linked word stands in a text, the vectors of what is around it choose among its words, or leave it alone.
+6. Furniture at the edges of a page is removed: page numbers, and running headers, which are like the work's title
    or recur at the edges of the source's pages (or, in such a source, are numbered as chapters are). Then words broken over lines are joined and lines flow into paragraphs.
 
 Null or blank bodies have no damage and come out empty. A repeated row counts once in the result. Sources without a
-title are judged by recurrence alone. Whole texts are read; the word tables that the workers get are bounded by
-parameters: the words beyond are judged by their skeleton against the frequent words all the same.
+title are judged by recurrence alone. Whole texts are read, every word is counted, and every word that is frequent
+enough may be linked to. What was learned is broadcast if it is small (``SHARED_BYTES``); if not, every page gets its
+own part of it by a join, with the same result.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.runtime import materialise, maybe_broadcast
 
-#: The most frequent words that the workers know, and those of them that have vectors.
-KNOWN_WORDS = 60_000
-VECTOR_WORDS = 1_200
+#: Words that serve as contexts: the most frequent ones.
+CONTEXTS = 2_000
 DIM = 24
 WINDOW = 3
-SUBSAMPLE = 3e-5
-EPOCHS = 6
+#: A context is thinned if it is more than this many times as frequent as contexts on average.
+SUBSAMPLE = 0.06
+#: Alternations between words and contexts, Newton steps in each, and the weight that keeps a vector of few counts short.
+ALTERNATIONS = 5
+STEPS = 4
+SHRINK = 1.0
 NEGATIVES = 4
 #: How much more frequent a word is than its misreading, at least.
 RATIO = 20
-#: The least mean logit of a word in its place; a word that has nothing to do with its neighbours has about -log(NEGATIVES).
-FIT = -2.5
+#: The least cosine of the vectors of a word and its misreading.
+NEIGHBOUR = 0.15
+#: The least gain of a word in its place: the mean log-ratio of its contexts beside it to chance.
+FIT = -0.5
+#: What was learned is broadcast up to this size.
+SHARED_BYTES = 48 << 20
 
 # Glyphs as printed and as scanners misread them.
 CONFUSIONS = """
@@ -50,6 +62,7 @@ e c | o 0 | n ri | t f | l 1 | d cl | cl d | s 5 | i l | h b | u ii | w vv | m r
 HYPHENS = "-‐¬­"
 BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][^\S\n]*\n[^\S\n]*(?=[^\W_])")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+[-‐][^\W\d_]+(?![\w-])")
 ENDS = re.compile(r"[.!?…:;,][\"'»”’)\]]*$")
 STOPS = re.compile(r"[.!?…][\"'»”’)\]]*$")
 FOLIO = re.compile(r"^[\[({<—–\-•|~*=·\s]*(?:(?:p|pp|page|pag|с|стр|s|seite)\.?\s*)?((?:[\dlIOoSB|]\s?){1,5}|[ivxlc]{1,8}|[IVXLC]{1,8})(?:\s*(?:of|/|из|von)\s*\d+)?[\])}>—–\-•|~*=·\s]*$", re.I)
@@ -57,6 +70,7 @@ GLUED_LEFT = re.compile(r"^\s*[\[(—–-]?\s*([\dlIO]{1,4}|[ivxlc]{1,7})\s*[\])
 GLUED_RIGHT = re.compile(r"(?:\s*[•|·—–/]\s*|\s+)[\[(—–-]?\s*([\dlIO]{1,4}|[ivxlc]{1,7})\s*[\])—–-]?\s*$")
 CHAPTER = re.compile(r"^\s*[\dlIO]{1,3}\.\s+[^\W\d_]")
 SECTION = re.compile(r"^\s*\d+\.\d+")
+SIDES = re.compile(rf"([^\W_]+)([{HYPHENS}])[^\S\n]*\n[^\S\n]*([^\W_]+)")
 
 
 def _pairs() -> list[tuple[str, str]]:
@@ -198,8 +212,9 @@ def _alike(a: str, b: str) -> float:
 class Page:
     """What stands at the edges of a page."""
 
-    def __init__(self, body: str, title_key: str, recurring: set[str]):
+    def __init__(self, body: str, title_key: str, recurring: set[str], headed_source: bool):
         self.lines = body.split("\n")
+        self.headed_source = headed_source
         self.drop: set[int] = set()
         self.header = self.folio = self.misread = False
         for side in edge_lines(self.lines):
@@ -224,7 +239,7 @@ class Page:
         if ENDS.search(text) and not near:
             return False
         # a chapter's head that is printed once counts in a source that has running heads
-        if not near and not (headed(text) and (key in recurring or recurring and CHAPTER.match(GLUED_LEFT.sub("", text)))):
+        if not near and not (headed(text) and (key in recurring or self.headed_source and CHAPTER.match(GLUED_LEFT.sub("", text)))):
             return False
         self.header = True
         self.drop.add(i)
@@ -238,159 +253,261 @@ class Page:
 # ---- learning -------------------------------------------------------------------------------------------------------
 
 
+def edge_keys(lines: list[str]) -> set[str]:
+    """Keys of the lines at the edges of a page that look like heads."""
+    return {key for i in {i for side in edge_lines(lines) for i in side[:2]} if headed(lines[i]) and len(key := line_key(lines[i])) >= 4}
+
+
+def breaks(body: str) -> list[str]:
+    """Words broken over lines, as ``left-right``."""
+    return [f"{m.group(1)}-{m.group(3)}".lower() for m in SIDES.finditer(body) if m.group(2) in "-‐"] if "\n" in body else []
+
+
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Word counts, and keys of lines at edges, of a partition."""
-    words: Counter = Counter()
+    """Of a partition: counts of words (kind w), of words with an inner hyphen (c) and broken ones (b); keys of heads at edges (e)."""
+    held: Counter = Counter()
     edges: dict[tuple[int, str], tuple[int, int]] = {}
     for b in batches:
         for chunk, source, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            words.update(words_of(body))
-            lines = body.split("\n")
-            for i in {i for side in edge_lines(lines) for i in side[:2]}:
-                if headed(lines[i]) and len(key := line_key(lines[i])) >= 4:
-                    lo, hi = edges.get((source, key), (chunk, chunk))
-                    edges[source, key] = (min(lo, chunk), max(hi, chunk))
-        if len(words) > 400_000:
-            yield _rows(words, edges)
-            words, edges = Counter(), {}
-    yield _rows(words, edges)
-
-
-def _rows(words: Counter, edges: dict) -> pa.RecordBatch:
-    n = len(words)
+            held.update(("w", w) for w in words_of(body))
+            held.update(("c", w.replace("‐", "-").lower()) for w in COMPOUND.findall(body))
+            held.update(("b", w) for w in breaks(body))
+            for key in edge_keys(body.split("\n")):
+                lo, hi = edges.get((source, key), (chunk, chunk))
+                edges[source, key] = (min(lo, chunk), max(hi, chunk))
+        if len(held) > 400_000:
+            yield _rows(held, edges)
+            held, edges = Counter(), {}
+    yield _rows(held, edges)
+
+
+def _rows(held: Counter, edges: dict) -> pa.RecordBatch:
+    n, m = len(held), len(edges)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([None] * n + [s for s, _ in edges], pa.int64()), pa.array([*words, *(k for _, k in edges)], pa.string()), pa.array([*words.values(), *([0] * len(edges))], pa.int64()),
-            pa.array([None] * n + [lo for lo, _ in edges.values()], pa.int64()), pa.array([None] * n + [hi for _, hi in edges.values()], pa.int64()),
+            pa.array([k for k, _ in held] + ["e"] * m, pa.string()), pa.array([None] * n + [s for s, _ in edges], pa.int64()), pa.array([*(w for _, w in held), *(k for _, k in edges)], pa.string()),
+            pa.array([*held.values(), *([0] * m)], pa.int64()), pa.array([None] * n + [lo for lo, _ in edges.values()], pa.int64()), pa.array([None] * n + [hi for _, hi in edges.values()], pa.int64()),
         ],
-        names=["source", "x", "n", "lo", "hi"],
+        names=["kind", "source", "x", "n", "lo", "hi"],
     )
 
 
-def _pair_counter(ids: dict[str, int], keep: np.ndarray):
-    """Counts pairs of words within the window, after subsampling; rows (pair, n), pair = centre * V + context."""
-    size = len(ids)
+def _skeletal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        out = []
+        for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if len(w) >= 2:
+                good = n >= RATIO and not any(c.isdigit() for c in w[:-1])
+                out += [(k, w, n, good, not w.isdigit()) for k in skeletons(w)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.bool_()))], names=["key", "w", "n", "good", "bad"])
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield b.filter(pa.array([plausible(g, w) for w, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.bool_()))
+
+
+def possible_links(words: DataFrame) -> DataFrame:
+    """(x, n) of all words -> (bad, good, n_good): words that glyph edits make of words at least ``RATIO`` times as frequent."""
+    keyed = words.select("x", "n").mapInArrow(_skeletal, "key string, w string, n long, good boolean, bad boolean")
+    bad, good = keyed.where("bad").select("key", F.col("w").alias("bad"), F.col("n").alias("n_bad")), keyed.where("good").select("key", F.col("w").alias("good"), F.col("n").alias("n_good"))
+    enough = F.col("n_good") >= RATIO * F.col("n_bad") * F.when(F.length("bad") == 2, 10).otherwise(1)
+    return bad.join(good, "key").where(enough & (F.col("bad") != F.col("good"))).select("bad", "good", "n_good").distinct().mapInArrow(_verified, "bad string, good string, n_good long")
+
+
+def _pair_counter(contexts: dict[str, int], keep: np.ndarray, centres: set[str] | None):
+    """Counts pairs of a centre word and a context within the window; rows (w, c, n).
+
+    Contexts, the frequent words, are centres too, and frequent ones are left out by a hash of their place; of other
+    centres, which are rare, all neighbours count. ``centres`` None: every word is one.
+    """
+    size = len(contexts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = dict(contexts)
+        if centres is not None:
+            for w in centres:
+                code.setdefault(w, len(code))
         held: list[np.ndarray] = []
         for b in batches:
-            seq: list[int] = []
+            seq: list[np.ndarray] = []
+            place: list[np.ndarray] = []
             for body in b.column(0).to_pylist():
-                seq += [ids.get(w, -1) for w in words_of(body)]
-                seq += [-2] * WINDOW
-            a = np.array(seq, dtype=np.int64)
-            a = a[a != -1]
-            draw = ((np.arange(len(a), dtype=np.uint64) + np.uint64(len(a))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.float64) / (1 << 24)
-            a = a[(a == -2) | (draw < keep[np.maximum(a, 0)])]
+                words = words_of(body)
+                seq.append(np.array([code.get(w, -1) for w in words] if centres is not None else [code.setdefault(w, len(code)) for w in words], dtype=np.int64))
+                place.append(np.arange(len(words), dtype=np.uint64) + np.uint64(len(body)))
+                seq.append(np.full(WINDOW, -2)), place.append(np.zeros(WINDOW, dtype=np.uint64))
+            if not seq:
+                continue
+            a, at = np.concatenate(seq), np.concatenate(place)
+            draw = (at * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+            frequent = (a >= 0) & (a < size)
+            thin = a[(a == -2) | (frequent & (draw < keep[np.where(frequent, a, 0)]))] if size else a[:0]
             for d in range(1, WINDOW + 1):
-                x, y = a[:-d], a[d:]
+                x, y = thin[:-d], thin[d:]
                 ok = (x >= 0) & (y >= 0)
                 held += [x[ok] * size + y[ok], y[ok] * size + x[ok]]
+                for x, y in ((a[:-d], a[d:]), (a[d:], a[:-d])):
+                    ok = (x >= size) & (y >= 0) & (y < size)
+                    held.append(x[ok] * size + y[ok])
             if sum(map(len, held)) > 4_000_000:
-                yield _counted(held)
+                yield counted(held, code)
                 held = []
-        yield _counted(held)
+        yield counted(held, code)
+
+    def counted(held: list[np.ndarray], code: dict[str, int]) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
+        words = pa.array(list(code), pa.string())
+        return pa.RecordBatch.from_arrays([words.take(pa.array(pair // max(1, size))), pa.array(pair % max(1, size), pa.int32()), pa.array(n, pa.int64())], names=["w", "c", "n"])
+
+    return run
+
+
+def newton(counts: np.ndarray, other: np.ndarray, noise: np.ndarray, begin: np.ndarray | None = None, steps: int = STEPS) -> np.ndarray:
+    """For rows of counts over contexts, the vectors that maximise the skip-gram objective, given the contexts' vectors.
+
+    Of every row: sum of n log s(u v) + NEGATIVES (row's total) noise log s(-u v), less SHRINK u u / 2.
+    """
+    dim = other.shape[1]
+    other = other.astype(np.float32)
+    u = np.zeros((len(counts), dim), dtype=np.float32) if begin is None else begin
+    both = (counts + NEGATIVES * counts.sum(axis=1, keepdims=True) * noise).astype(np.float32)
+    upper = np.triu_indices(dim)
+    square = other[:, upper[0]] * other[:, upper[1]]
+    for _ in range(steps):
+        s = 1 / (1 + np.exp(-np.clip(u @ other.T, -30, 30)))
+        slope = (counts - both * s) @ other - SHRINK * u
+        bend = np.empty((len(u), dim, dim))
+        bend[:, upper[0], upper[1]] = bend[:, upper[1], upper[0]] = (both * s * (1 - s)) @ square
+        step = np.linalg.solve(bend + SHRINK * np.eye(dim), slope[:, :, None])[:, :, 0]
+        u = (u + step * np.minimum(1.0, 2 / np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-9))).astype(np.float32)
+    return u
+
+
+def skip_gram(counts: np.ndarray, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of contexts, noise distribution) from the square table of counts among contexts."""
+    noise = counts.sum(axis=0) ** 0.75
+    noise = noise / max(noise.sum(), 1e-9)
+    v = np.random.default_rng(seed).normal(scale=0.5, size=(len(counts), DIM)).astype(np.float32)
+    u = np.zeros_like(v)
+    for at in range(2 * ALTERNATIONS if len(counts) else 0):  # words and contexts have the same counts, so the sides only change places
+        steps = STEPS if at < 2 else 1  # later ones start from where the side was
+        u, v = v, np.concatenate([newton(counts[i : i + 128], v, noise, u[i : i + 128] if at >= 2 else None, steps) for i in range(0, len(counts), 128)])
+    return v, noise
+
+
+def _train(size: int):
+    """All of the square table (at most CONTEXTS ** 2 rows) in one task -> the contexts' vectors and noise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros((size, size), dtype=np.float32)
+        for b in batches:
+            table[b.column(0).to_numpy(), b.column(1).to_numpy()] = b.column(2).to_numpy()
+        v, noise = skip_gram(table)
+        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([x.astype(np.float32).tobytes() for x in v], pa.binary()), pa.array(noise, pa.float64())], names=["c", "v", "noise"])
+
+    return run
+
+
+def _place(v: np.ndarray, noise: np.ndarray):
+    """Counts of a word over contexts -> its vector."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                counts = np.zeros((part.num_rows, len(v)))
+                for i, near in enumerate(part.column(1).to_pylist()):
+                    for x in near:
+                        counts[i, x["c"]] = x["n"]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in newton(counts, v, noise)], pa.binary())], names=["w", "u"])
 
     return run
 
 
-def _counted(held: list[np.ndarray]) -> pa.RecordBatch:
-    pair, n = np.unique(np.concatenate(held) if held else np.zeros(0, dtype=np.int64), return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], names=["pair", "n"])
-
-
-def skip_gram(pairs: np.ndarray, counts: np.ndarray, size: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors of words and of contexts by gradient steps on counted pairs, with negative samples."""
-    rng = np.random.default_rng(seed)
-    u, v = (rng.normal(scale=0.1, size=(size, DIM)).astype(np.float32) for _ in range(2))
-    centre, context = pairs // size, pairs % size
-    weight = np.minimum(counts, 50).astype(np.float64)
-    noise = np.bincount(context, weights=counts, minlength=size) ** 0.75
-    noise = noise.cumsum() / max(noise.sum(), 1e-9)
-    cum = weight.cumsum()
-    steps = max(1, int(min(cum[-1] if len(cum) else 0, 200_000) // 2048))
-    gu, gv = np.full((size, 1), 1e-3, dtype=np.float32), np.full((size, 1), 1e-3, dtype=np.float32)
-    for _ in range(EPOCHS * steps if len(pairs) else 0):
-        pick = np.searchsorted(cum, rng.random(2048) * cum[-1])
-        pick = np.minimum(pick, len(pairs) - 1)
-        a = np.tile(centre[pick], 1 + NEGATIVES)
-        b = np.concatenate([context[pick], np.searchsorted(noise, rng.random(2048 * NEGATIVES))])
-        b = np.minimum(b, size - 1)
-        y = np.concatenate([np.ones(2048, dtype=np.float32), np.zeros(2048 * NEGATIVES, dtype=np.float32)])
-        ua, vb = u[a], v[b]
-        err = (y - 1 / (1 + np.exp(-np.einsum("ij,ij->i", ua, vb))))[:, None]
-        for m, at, g, h in ((u, a, err * vb, gu), (v, b, err * ua, gv)):  # steps scaled by the squared gradients so far
-            order = np.argsort(at, kind="stable")
-            rows, first = np.unique(at[order], return_index=True)
-            total = np.add.reduceat(g[order], first, axis=0)
-            h[rows] += (total * total).mean(axis=1, keepdims=True)
-            m[rows] += 0.25 * total / np.sqrt(h[rows])
-    return u, v
+def gain(mean: np.ndarray, u: np.ndarray) -> float:
+    """How much likelier contexts are beside a word than by chance: the mean log-ratio, which vectors of this kind approximate."""
+    return float(mean @ u) + math.log(NEGATIVES)
+
+
+def neighbours(u_bad: np.ndarray, u_good: np.ndarray, least: float = NEIGHBOUR) -> bool:
+    """Whether a frequent word is a neighbour of a rare one in vector space; vectors of zeros have no neighbours."""
+    length = float(np.linalg.norm(u_bad) * np.linalg.norm(u_good))
+    return length > 0 and float(u_bad @ u_good) >= least * length
+
+
+def _linked(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bad, good = ([np.frombuffer(x, dtype=np.float32) for x in b.column(k).to_pylist()] for k in ("u_bad", "u"))
+            yield b.select(["bad", "good", "u"]).filter(pa.array([neighbours(x, y, least) for x, y in zip(bad, good, strict=True)], pa.bool_()))
+
+    return run
 
 
 class Lexicon:
-    """What the workers know: frequent words, suspects with the words they may be, and vectors."""
-
-    def __init__(self, counts: dict[str, int], full: bool, u: np.ndarray, v: np.ndarray, ids: dict[str, int]):
-        self.counts, self.u, self.v, self.ids = counts, u, v, ids
-        #: the highest count that a word outside the table may have
-        self.beyond = 0 if full or not counts else min(counts.values())
-        self.by_skeleton: dict[str, list[str]] = defaultdict(list)
-        for w, n in counts.items():
-            if n >= RATIO and len(w) >= 2 and not any(c.isdigit() for c in w[:-1]):
-                for k in skeletons(w):
-                    self.by_skeleton[k].append(w)
-        self.suspects = {w: c for w, n in counts.items() if (c := self.candidates(w, n))}
-        self.cache: dict[str, tuple[str, ...]] = {}
-
-    def candidates(self, word: str, n: int) -> tuple[str, ...]:
-        """Words that could have been misread as ``word``, of ``n`` occurrences at most."""
-        if len(word) < 2 or word.isdigit():
-            return ()
-        found = {w for k in skeletons(word) for w in self.by_skeleton.get(k, ())}
-        need = RATIO * max(1, n) * (10 if len(word) == 2 else 1)
-        return tuple(sorted(w for w in found if w != word and self.counts[w] >= need and plausible(w, word)))
-
-    def maybe(self, word: str) -> tuple[str, ...]:
-        got = self.suspects.get(word)
-        if got is not None or word in self.counts or not self.beyond:
-            return got or ()
-        if word not in self.cache:
-            if len(self.cache) > 200_000:
-                self.cache.clear()
-            self.cache[word] = self.candidates(word, self.beyond)
-        return self.cache[word]
-
-    def fit(self, words: tuple[str, ...], around: list[str]) -> str | None:
-        """The candidate that best fits its neighbours, if any fits."""
+    """What workers need besides a page: the contexts' vectors, and for words in doubt the words they are linked to.
+
+    ``links``: misread word -> [(word, vector)]; ``compounds``: broken words whose hyphen stays.
+    """
+
+    def __init__(self, ids: dict[str, int], v: np.ndarray, links: dict[str, list[tuple[str, np.ndarray]]] | None = None, compounds: set[str] | None = None):
+        self.ids, self.v, self.links, self.compounds = ids, v, links or {}, compounds or set()
+        self.least = FIT
+
+    def fit(self, word: str, around: list[str]) -> str | None:
+        """The linked word that best fits its neighbours, if any fits; where no neighbour is known, the first linked word."""
         ctx = [self.ids[w] for w in around if w in self.ids]
-        best, at = None, FIT
-        for w in words:
-            if w in self.ids and ctx:
-                s = float(np.mean(self.v[ctx] @ self.u[self.ids[w]]))
-            else:  # a word without a vector, or without known neighbours: the glyphs decide
-                s = 0.0
-            if best is None and s >= at or best is not None and s > at:
+        best, at = None, self.least
+        mean = self.v[ctx].mean(axis=0) if ctx else None
+        for w, u in self.links[word]:
+            s = gain(mean, u) if mean is not None else 0.0
+            if s > at:
                 best, at = w, s
         return best
 
 
-def learn(chunks: DataFrame) -> tuple[Lexicon, DataFrame]:
-    """(item_id, source_id, body) of all pages -> the lexicon, and (source_id, keys): heads that recur at edges of a source."""
+class Learned:
+    """Tables of what was learned: links (bad, good, u), compounds (x), heads (source_id, x); and the contexts."""
+
+    def __init__(self, ids: dict[str, int], v: np.ndarray, links: DataFrame, compounds: DataFrame, heads: DataFrame):
+        self.ids, self.v, self.links, self.compounds, self.heads = ids, v, links, compounds, heads
+
+
+def learn(chunks: DataFrame) -> Learned:
+    """(item_id, source_id, body) of all pages -> links of misread words, compounds, and heads that recur in a source."""
     pages = chunks.where("body IS NOT NULL AND item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("source_id").cast("long"), "body")
-    seen = materialise(pages.mapInArrow(_gather, "source long, x string, n long, lo long, hi long").groupBy("source", "x").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "words")
-    top = seen.where("source IS NULL").orderBy(F.desc("n"), "x").limit(KNOWN_WORDS).select("x", "n").collect()  # bounded
-    counts = {r.x: r.n for r in top}
-    total = sum(counts.values()) or 1
-    frequent = [r.x for r in top[:VECTOR_WORDS] if r.n >= 5]
-    ids = {w: i for i, w in enumerate(frequent)}
-    keep = np.minimum(1.0, np.sqrt(SUBSAMPLE * total / np.maximum(1, np.array([counts[w] for w in frequent] or [1]))))
-    pairs = pages.select("body").mapInArrow(_pair_counter(ids, keep), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    got = pairs.select(F.col("pair").cast("int"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow() if ids else None  # at most VECTOR_WORDS ** 2 rows
-    pair, n = (got.column(k).to_numpy().astype(np.int64) if got is not None else np.zeros(0, dtype=np.int64) for k in (0, 1))
-    u, v = skip_gram(pair, n, max(1, len(ids)))
-    recur = seen.where("source IS NOT NULL AND lo < hi").groupBy(F.col("source").alias("source_id")).agg(F.collect_set("x").alias("keys"))
-    return Lexicon(counts, len(top) < KNOWN_WORDS, u, v, ids), recur
+    found = pages.mapInArrow(_gather, "kind string, source long, x string, n long, lo long, hi long").groupBy("kind", "source", "x")
+    seen = materialise(found.agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), "words")
+    words = seen.where("kind = 'w'").select("x", "n")
+    maybe = materialise(possible_links(words), "possible")
+    top = words.join(maybe.select(F.col("bad").alias("x")), "x", "left_anti").where("n >= 5").orderBy(F.desc("n"), "x").limit(CONTEXTS).collect()  # bounded
+    ids = {r.x: i for i, r in enumerate(top)}
+    counts = np.array([r.n for r in top] or [1])
+    keep = np.minimum(1.0, np.sqrt(SUBSAMPLE * counts.mean() / counts))
+    wanted = maybe.select(F.explode(F.array("bad", "good")).alias("w")).distinct()
+    centres = {r.w for r in wanted.collect()} if _small(wanted, F.length("w") + 60) else None
+    pairs = materialise(pages.select("body").mapInArrow(_pair_counter(ids, keep, centres), "w string, c int, n long").groupBy("w", "c").agg(F.sum("n").alias("n")), "near")
+    v, noise = np.zeros((len(ids), DIM), dtype=np.float32), np.zeros(len(ids))
+    if ids:
+        codes = chunks.sparkSession.createDataFrame([(r.x, i) for i, r in enumerate(top)], "w string, i int")
+        square = pairs.join(F.broadcast(codes), "w").select("i", "c", "n").coalesce(1)  # CONTEXTS ** 2 rows at most
+        for r in square.mapInArrow(_train(len(ids)), "c int, v binary, noise double").collect():
+            v[r.c], noise[r.c] = np.frombuffer(r.v, dtype=np.float32), r.noise
+    lists = pairs.join(wanted, "w", "left_semi").groupBy("w").agg(F.collect_list(F.struct("c", "n")).alias("near"))  # CONTEXTS entries at most
+    vectors = materialise(lists.mapInArrow(_place(v, noise), "w string, u binary"), "vectors")
+    both = maybe.join(vectors.select(F.col("w").alias("bad"), F.col("u").alias("u_bad")), "bad").join(vectors.select(F.col("w").alias("good"), "u"), "good")
+    links = materialise(both.select("bad", "good", "u", "u_bad").mapInArrow(_linked(NEIGHBOUR), "bad string, good string, u binary"), "links")
+    # a hyphen at a line's end stays if the word stands with it within lines, at least as often as in one piece elsewhere
+    broken = seen.where("kind = 'b'").select("x", F.col("n").alias("n_broken"), F.regexp_replace("x", "-", "").alias("whole"))
+    inner = seen.where("kind = 'c'").select("x", F.col("n").alias("n_inner"))
+    compounds = broken.join(inner, "x").join(words.select(F.col("x").alias("whole"), F.col("n").alias("n_whole")), "whole", "left").where("n_inner >= coalesce(n_whole, 0) - n_broken").select("x")
+    heads = seen.where("kind = 'e' AND lo < hi").select(F.col("source").alias("source_id"), "x")
+    return Learned(ids, v, links, materialise(compounds, "compounds"), heads)
+
+
+def _small(df: DataFrame, width: Column) -> bool:
+    return (df.agg(F.sum(width)).first()[0] or 0) <= SHARED_BYTES
 
 
 # ---- repair ---------------------------------------------------------------------------------------------------------
@@ -405,23 +522,19 @@ def title_key(title: str | None) -> str:
     return "".join(c for c in skeleton(re.sub(r"\([^)]*\)|\[[^\]]*\]", " ", plain).lower()) if c.isalpha())
 
 
-def compound(left: str, right: str, counts: dict[str, int]) -> bool:
-    """Whether a hyphen at a line's end belongs to a compound: the parts are words and the whole is none."""
-    a, b = left.lower(), right.lower()
-    return a + b not in counts and counts.get(a, 0) >= RATIO and counts.get(b, 0) >= RATIO
 
 
-SIDES = re.compile(rf"([^\W_]+)([{HYPHENS}])[^\S\n]*\n[^\S\n]*([^\W_]+)")
-
+def repair(body: str, title: str | None, keys: set[str], lex: Lexicon, rewrite: bool = False, headed_source: bool = False) -> tuple[list[str], str]:
+    """The sorts of damage of a page, and (if wanted) its clean text.
 
-def repair(body: str, title: str | None, keys: set[str], lex: Lexicon, rewrite: bool = False) -> tuple[list[str], str]:
-    """The sorts of damage of a page, and (if wanted) its clean text."""
-    page = Page(body, title_key(title), keys)
+    ``keys``: heads that recur in its source, at least those that the page has; ``headed_source``: the source has any.
+    """
+    page = Page(body, title_key(title), keys, headed_source or bool(keys))
     found = {"header": page.header, "folio": page.folio, "misread": page.misread, "hyphen": False}
     inner = "\n".join(x for i, x in enumerate(page.lines) if i not in page.drop)
 
     def mend(m: re.Match) -> str:
-        if m.group(2) in "-‐" and compound(m.group(1), m.group(3), lex.counts):
+        if m.group(2) in "-‐" and f"{m.group(1)}-{m.group(3)}".lower() in lex.compounds:
             return m.group(1) + "-" + m.group(3)
         found["hyphen"] = True
         return m.group(1) + m.group(3)
@@ -434,17 +547,16 @@ def repair(body: str, title: str | None, keys: set[str], lex: Lexicon, rewrite:
     tokens = TOKEN.findall(text)
     low = [t.lower() for t in tokens]
     fixes: dict[int, str] = {}
-    for t in {t for t in low if lex.maybe(t)}:
-        for i in (i for i, x in enumerate(low) if x == t):
-            best = lex.fit(lex.maybe(t), low[max(0, i - WINDOW) : i] + low[i + 1 : i + 1 + WINDOW])
-            if best:
-                found["misread"] = True
-                if not rewrite:
-                    break
-                fixes[i] = best
+    for i in (i for i, t in enumerate(low) if t in lex.links):
+        best = lex.fit(low[i], low[max(0, i - WINDOW) : i] + low[i + 1 : i + 1 + WINDOW])
+        if best:
+            found["misread"] = True
+            if not rewrite:
+                break
+            fixes[i] = best
     if rewrite:
         if not found["misread"] and heads:
-            found["misread"] = "misread" in repair(body, title, keys, lex)[0]
+            found["misread"] = "misread" in repair(body, title, keys, lex, False, headed_source)[0]
         at = iter(range(len(tokens)))
 
         def put(m: re.Match) -> str:
@@ -479,17 +591,34 @@ def reflow(text: str) -> str:
     return "\n\n".join(out)
 
 
+def _own_links(rows: list[dict] | None, lex: Lexicon) -> tuple[Lexicon, set[str]]:
+    """The part of the lexicon that came with a page."""
+    links: dict[str, list[tuple[str, np.ndarray]]] = defaultdict(list)
+    compounds, keys = set(), set()
+    for r in sorted(rows or (), key=lambda r: (r["kind"], r["x"], r["good"] or "")):
+        if r["kind"] == "w":
+            links[r["x"]].append((r["good"], np.frombuffer(r["u"], dtype=np.float32)))
+        else:
+            (compounds if r["kind"] == "b" else keys).add(r["x"])
+    own = Lexicon(lex.ids, lex.v, links, compounds)
+    own.least = lex.least
+    return own, keys
+
+
 def _mapper(shared, rewrite: bool):
+    """Rows (item_id, body, title, source_id, headed, own): own is the page's part of what was learned, or null where ``shared`` has all."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lex = shared.value
+        whole, heads = shared.value
         for b in batches:
             ids, kinds, texts = [], [], []
-            for i, body, title, keys in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for i, body, title, source, headed_source, own in zip(*(b.column(k).to_pylist() for k in range(6)), strict=True):
                 if not body or not body.strip():
                     if rewrite:
                         ids.append(i), kinds.append([]), texts.append("")
                     continue
-                damage, clean = repair(body, title, set(keys or ()), lex, rewrite)
+                lex, keys = (whole, heads.get(source, set())) if heads is not None else _own_links(own, whole)
+                damage, clean = repair(body, title, keys, lex, rewrite, bool(headed_source))
                 if rewrite:
                     ids.append(i), kinds.append(damage), texts.append(clean)
                 else:
@@ -503,6 +632,18 @@ def _mapper(shared, rewrite: bool):
     return run
 
 
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What of a page may be in the learned tables: (item_id, source_id, kind, x)."""
+    for b in batches:
+        out = []
+        for item, source, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+            text = joined(body)
+            out += [(item, None, "w", w) for w in {w.lower() for w in TOKEN.findall(text)} | {w.lower() for w in TOKEN.findall(body)}]
+            out += [(item, None, "b", x) for x in set(breaks(body))]
+            out += [(item, source, "e", x) for x in edge_keys(body.split("\n"))]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["item_id", "source_id", "kind", "x"])
+
+
 def pages(chunks: DataFrame, sources: DataFrame) -> DataFrame:
     """Pages of books and papers: (item_id, source_id, body)."""
     files = sources.where(F.col("kind").isin("book", "paper")).select("source_id")
@@ -519,9 +660,36 @@ def clean(all_pages: DataFrame, sources: DataFrame) -> DataFrame:
     return _apply(all_pages, sources, True, "item_id long, damage array<string>, text string").dropDuplicates(["item_id"])
 
 
+def _own_parts(pages: DataFrame, got: Learned) -> DataFrame:
+    """(item_id, own): for every page the links, compounds and heads that it holds; as many as it has words at most."""
+    facts = (
+        got.links.select(F.lit("w").alias("kind"), F.lit(None).cast("long").alias("s"), F.col("bad").alias("x"), "good", "u")
+        .unionByName(got.compounds.select(F.lit("b").alias("kind"), F.lit(None).cast("long").alias("s"), "x", F.lit(None).cast("string").alias("good"), F.lit(None).cast("binary").alias("u")))
+        .unionByName(got.heads.select(F.lit("e").alias("kind"), F.col("source_id").alias("s"), "x", F.lit(None).cast("string").alias("good"), F.lit(None).cast("binary").alias("u")))
+    )
+    marks = pages.where("item_id IS NOT NULL AND body IS NOT NULL").select(F.col("item_id").cast("long"), F.col("source_id").cast("long"), "body").mapInArrow(_marks, "item_id long, source_id long, kind string, x string").distinct()
+    met = marks.alias("m").join(facts.alias("f"), (F.col("m.kind") == F.col("f.kind")) & (F.col("m.x") == F.col("f.x")) & F.col("m.source_id").eqNullSafe(F.col("f.s")))
+    return met.groupBy("m.item_id").agg(F.collect_set(F.struct(F.col("f.kind").alias("kind"), F.col("f.x").alias("x"), "f.good", "f.u")).alias("own"))
+
+
 def _apply(all_pages: DataFrame, sources: DataFrame, rewrite: bool, schema: str) -> DataFrame:
-    lex, recur = learn(all_pages)
-    shared = all_pages.sparkSession.sparkContext.broadcast(lex)  # bounded by KNOWN_WORDS and VECTOR_WORDS
-    about = sources.select(F.col("source_id").cast("long"), "title").join(recur, "source_id", "left").dropDuplicates(["source_id"])
-    rows = all_pages.where("item_id IS NOT NULL").join(maybe_broadcast(about), "source_id", "left")
-    return rows.select(F.col("item_id").cast("long"), "body", "title", "keys").mapInArrow(_mapper(shared, rewrite), schema)
+    spark = all_pages.sparkSession
+    got = learn(all_pages)
+    small = _small(got.links, F.length("bad") + 2 * F.length("good") + 4 * DIM) and _small(got.compounds, F.length("x") + 60) and _small(got.heads, F.length("x") + 120)
+    lex, heads = Lexicon(got.ids, got.v), None
+    if small:
+        vectors: dict[str, np.ndarray] = {}
+        links: dict[str, list[tuple[str, np.ndarray]]] = defaultdict(list)
+        for r in sorted(got.links.collect(), key=lambda r: (r.bad, r.good)):
+            links[r.bad].append((r.good, vectors.setdefault(r.good, np.frombuffer(r.u, dtype=np.float32))))
+        lex = Lexicon(got.ids, got.v, dict(links), {r.x for r in got.compounds.collect()})
+        heads = {}
+        for r in got.heads.collect():
+            heads.setdefault(r.source_id, set()).add(r.x)
+    shared = spark.sparkContext.broadcast((lex, heads))  # SHARED_BYTES and the contexts' vectors at most
+    has = got.heads.select("source_id").distinct().withColumn("headed", F.lit(True))
+    about = sources.select(F.col("source_id").cast("long"), "title").join(has, "source_id", "full").groupBy("source_id").agg(F.max("title").alias("title"), F.max("headed").alias("headed"))
+    rows = all_pages.where("item_id IS NOT NULL").select(F.col("item_id").cast("long"), F.col("source_id").cast("long"), "body").join(maybe_broadcast(about), "source_id", "left")
+    own = F.lit(None).cast("array<struct<kind:string,x:string,good:string,u:binary>>")
+    rows = rows.withColumn("own", own) if small else rows.join(_own_parts(all_pages, got), "item_id", "left")
+    return rows.select("item_id", "body", "title", "source_id", "headed", "own").mapInArrow(_mapper(shared, rewrite), schema)

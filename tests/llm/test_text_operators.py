@@ -235,6 +235,58 @@ def test_clean(scanned):
     assert got[2].endswith("A cost-based window.") and got[900] == "" and got[901] == ""
 
 
+@pytest.fixture(scope="module")
+def topics(spark):
+    """Two topics. c1am may be clam (kitchen) or ciam (sea); cask is a real word of the sea, one glyph from the kitchen's eask."""
+    kitchen = "stove butter onion garlic simmer spoon recipe flour pepper oven clam eask boil sauce".split()
+    sea = "anchor harbour sailor mast keel compass tide rudder deck captain ciam voyage storm rope".split()
+    rnd = random.Random(8)
+    page = lambda words, more=(): "\n".join(" ".join(rnd.choices(words, k=9)) + "." for _ in range(8)) + "".join(f"\n{x}." for x in more)
+    rows = [(i, i % 3, page(kitchen if i % 2 else sea)) for i in range(200)]
+    rows += [(1000, 0, page(kitchen, ["stove butter onion c1am garlic simmer spoon"])), (1001, 0, page(sea, ["anchor harbour sailor c1am mast keel compass"]))]
+    rows += [(1002 + i, 1, page(sea, ["sailor tide rudder cask deck captain rope"])) for i in range(4)]
+    rows += [(1010, 2, page(kitchen, ["oven sauce boil stoue pepper", "onion garlic peppcr flour recipe"]))]
+    sources = spark.createDataFrame([(i, "book", None) for i in range(3)], "source_id long, kind string, title string")
+    return spark.createDataFrame(rows, "item_id long, source_id long, body string"), sources
+
+
+def repaired(topics):
+    texts = {r.item_id: r.text for r in S.clean(*topics).where("item_id >= 1000").collect()}
+    return {
+        "kitchen": "onion clam garlic" in texts[1000], "sea": "sailor ciam mast" in texts[1001], "rare": all("rudder cask deck" in texts[1002 + i] for i in range(4)),
+        "one": "garlic pepper flour" in texts[1010], "none": "stoue" in texts[1010],
+    }
+
+
+def test_vectors_decide(topics, monkeypatch):
+    assert repaired(topics) == dict.fromkeys(["kitchen", "sea", "rare", "one", "none"], True)
+    assert S.damage(*topics).where("item_id >= 1000 AND damage = 'misread'").count() == 3
+    monkeypatch.setattr(S, "NEIGHBOUR", -2.0)  # every possible link, judged in its place alone
+    assert repaired(topics) == dict.fromkeys(["kitchen", "sea", "rare", "one", "none"], True)
+    monkeypatch.setattr(S, "FIT", -99.0)  # the glyphs alone
+    assert not repaired(topics)["rare"]
+
+
+def test_no_vectors_no_corrections(topics, monkeypatch):
+    place = S._place
+    monkeypatch.setattr(S, "_place", lambda v, noise: place(v * 0, noise))
+    assert S.damage(*topics).where("item_id >= 1000 AND damage = 'misread'").count() == 0
+
+
+def test_pages_take_their_own_part_of_what_was_learned(topics, scanned, monkeypatch):
+    broad = [sorted(map(tuple, S.damage(*x).collect())) for x in (topics, scanned)]
+    monkeypatch.setattr(S, "SHARED_BYTES", 0)
+    assert [sorted(map(tuple, S.damage(*x).collect())) for x in (topics, scanned)] == broad
+
+
+def test_compounds_keep_their_hyphen(spark):
+    rows = [(i, 0, "a cost-based window opens here.\nanother ledger closes there.") for i in range(30)] + [(100, 0, "It is a cost-\nbased window of the led-\nger here.")]
+    pages = spark.createDataFrame(rows, "item_id long, source_id long, body string")
+    sources = spark.createDataFrame([(0, "book", None)], "source_id long, kind string, title string")
+    got = S.clean(pages, sources).where("item_id = 100").first()
+    assert got.text == "It is a cost-based window of the ledger here." and got.damage == ["hyphen"]
+
+
 def test_no_pages(spark, scanned):
     pages, sources = scanned
     assert S.damage(pages.where("false"), sources).count() == 0
@@ -243,7 +295,7 @@ def test_no_pages(spark, scanned):
 def test_reflow():
     assert S.reflow("One line\nruns on.\n\nNew one.\n1 2 3\n4 5 6") == "One line runs on.\n\nNew one.\n\n1 2 3\n\n4 5 6"
     assert S.reflow("broken\n\nsentence goes on.") == "broken sentence goes on."
-    lex = S.Lexicon({"well": 50, "known": 50, "wellness": 50}, True, S.np.zeros((1, 2)), S.np.zeros((1, 2)), {})
+    lex = S.Lexicon({}, S.np.zeros((1, 2)), {}, {"well-known"})
     assert S.repair("a well-\nknown thing.", None, set(), lex, True) == ([], "a well-known thing.")
     assert S.repair("so much well-\nness.", None, set(), lex)[0] == ["hyphen"]
 
