@@ -41,18 +41,34 @@ def test_recurring_lines_against_brute_force(spark):
 def test_increments_equal_the_whole(spark):
     rows = [(i, "s", f"common\nline {chr(97 + i % 26)}{chr(97 + i // 26)}" if i % 3 else "other", "", 0, 0) for i in range(30)]
     table = lines_table(spark, rows)
-    a, b = L.keyed_lines(table.where("doc_id < 6")), L.keyed_lines(table.where("doc_id >= 6"))
-    one = L.update(None, None, a)
-    two = L.update(one["state"], a, b)
-    whole = L.update(None, None, L.keyed_lines(table))
-    assert {tuple(r) for r in two["recurring"].collect()} == {tuple(r) for r in whole["recurring"].collect()}
-    assert one["recurring"].count() == 0 and two["crossed"].count() == 2
-    assert {r.doc_id for r in two["rebuild"].collect()} == set(range(30))
+    one, two = L.fold([L.keyed_lines(table.where("doc_id < 6")), L.keyed_lines(table.where("doc_id >= 6"))])
+    (whole,) = L.fold([L.keyed_lines(table)])
+    assert {tuple(r) for r in two.state.repeated.collect()} == {tuple(r) for r in whole.state.repeated.collect()}
+    assert {tuple(r) for r in two.state.found.collect()} == {tuple(r) for r in whole.state.found.collect()}
+    assert one.state.repeated.count() == 0 and two.crossed.count() == 2
+    assert {r.doc_id for r in two.rebuild.collect()} == set(range(30))
+
+
+def test_only_touched_documents_are_rebuilt(spark):
+    """A line begins to recur, another ceases as the site grows, a third stays; documents come again in later partitions."""
+    text = lambda i: "\n".join(["stays", *(["early"] if i < 5 else []), *(["late"] if i >= 18 else []), f"own {chr(97 + i % 26)}{chr(97 + i // 26)}"])
+    rows = [(i, "s", text(i), "", 0, 0) for i in range(60)] + [(200, "t", "stays", "", 0, 0)]
+    table = lines_table(spark, rows)
+    parts = [table.where("doc_id < 20"), table.where("doc_id BETWEEN 10 AND 49 OR doc_id = 200"), table.where("doc_id >= 40 OR doc_id < 3")]
+    steps = list(L.fold(L.keyed_lines(x) for x in parts))
+    (whole,) = L.fold([L.keyed_lines(table)])
+    assert [tuple(sorted(r.docs for r in s.state.sizes.withColumnRenamed("total", "docs").collect())) for s in steps] == [(20,), (1, 50), (1, 60)]
+    assert {tuple(r) for r in steps[2].state.found.collect()} == {tuple(r) for r in whole.state.found.collect()}
+    assert {r.doc_id for r in steps[1].rebuild.collect()} == {*range(5), *range(18, 50)}  # early ceased, late began, and the new ones
+    assert {r.doc_id for r in steps[2].rebuild.collect()} == set(range(50, 60))
+    built = {r.doc_id: r.body for r in L.rebuilt_bodies(table, steps).collect()}
+    assert built == {i: "\n".join(x for x in text(i).split("\n") if x not in ("stays", "late")) for i in range(60)}
 
 
 def test_no_documents(spark):
     lines = L.keyed_lines(lines_table(spark, []))
-    assert L.repeated_lines(lines, L.update(None, None, lines)["recurring"]).count() == 0
+    steps = list(L.fold([lines, lines]))
+    assert steps[-1].state.found.count() == 0 and L.rebuilt_bodies(lines_table(spark, []), steps).count() == 0
 
 
 # ---- 7
