@@ -2,12 +2,16 @@
 
 A field is cut into cells at every possible delimiter; a lattice has an edge for every run of cells that could be one
 value. Strong delimiters (; | / middle dot, line feed, tab, and the gap between quoted spans) always part values;
-commas and conjunctions may belong to a value. A quoted span is one atomic cell.
+commas and conjunctions may belong to a value. A quoted span is one atomic cell. Runs have up to ``RUN`` cells, or are
+all that stands between two strong delimiters, however long.
 
-A value's probability mixes its own frequency in the whole column with that of its shape (the kinds of its words in
-order, repeats collapsed) times a constant chance per word. Expectation-maximisation over all distinct fields learns
-both: forward-backward passes give expected counts, which are summed over the distinct fields of the column; a field's
-own share in a value's count is left out when that field is split. Viterbi then picks the split.
+Nothing is assumed of what the values are. Of some values the column itself leaves no doubt: quoted spans, and single
+cells between strong delimiters. From these start two frequencies, that of each value and that of kinds of words in
+order (a value's shape, as a Markov chain over kinds with the number of commas so far); expectation-maximisation over
+all distinct fields then learns both: forward-backward passes give expected counts, which are summed over the column.
+A value's probability is that of its shape (in the column, and among the other values of its field) times a constant chance per word, plus its own frequency, which counts as
+far as values have such shapes: by the chance of the shape among values over that among all runs. A field's own share
+in a value's count is left out when that field is split. Viterbi then picks the split; ties go to the longer value.
 
 Null, blank and delimiter-only fields give no rows. Words for unnamed further authors are no values. Equal fields are
 solved once. Repeated input rows give their values once. Extra columns are ignored.
@@ -26,9 +30,19 @@ from pyspark.sql import functions as F
 
 from quire.runtime import materialise
 
-#: The longest value, in cells between possible delimiters.
-MAX_CELLS = 6
+#: The longest run of cells that an edge stands for, unless it reaches from one strong delimiter to the next.
+RUN = 12
 ROUNDS = 3
+#: How strongly a value's own frequency is held back where values seldom have its shape.
+CAUTION = 3.0
+#: Weight of a value's own frequency beside what its shape says.
+OWN = 0.5
+#: How often a value has its shape from the other values of its field.
+ALIKE = 0.2
+SETTLED = 0.9
+#: Kinds of words, as counts of the chain are smoothed over them.
+KINDS = 10
+SMOOTH = 0.1
 
 # Quotation marks, conjunctions, words for unnamed further authors, and what may follow a name.
 QUOTED = r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|(?<!\w)'[^'\n]*'(?!\w)|(?<!\w)‘[^’\n]*’(?!\w)"
@@ -96,69 +110,73 @@ def shape(value: str) -> str:
             k = "&" if bare in ("and", "und", "et", "и", "та", "y") else "w"
         if not (kinds and k == kinds[-1] and k in "ICwx9"):
             kinds.append(k)
-    return "".join(kinds[:14])
-
-
-def prior(sh: str) -> float:
-    """How readily a shape is one value: whole names and organisations high, parts and chains of names low."""
-    sides = [x for x in sh.rstrip("j,").split(",") if x]
-    if not sides:
-        return 1e-9
-    if "&" in sh:
-        joined = re.sub("[^W&]", "", sh)
-        if any(k in sh for k in "IC,") or "&W" not in joined:
-            return 1e-10
-        return 1e-3 if re.fullmatch("W+&WW+", joined) and not re.fullmatch("WWW?&WWW?", joined) else 1e-7
-    count = [(x.count("W"), x.count("I") + x.count("C")) for x in sides]
-    if len(sides) == 1:
-        w, i = count[0]
-        if "w" in sh:
-            return 0.05
-        return 1.0 if w and w + i >= 2 and w <= 3 else 0.02 if w == 1 else 0.05 if w else 1e-4
-    if len(sides) == 2:
-        (w1, i1), (w2, i2) = count
-        if w1 >= 1 and not i1 and w1 <= 2 and w2 <= 1 and w2 + i2 >= 1 and "w" not in sides[1]:
-            return 1.0
-        return 0.01 if "w" in sh else 1e-5
-    return 2e-4 if "w" in sh and not any(i for _, i in count) else 1e-5 ** (len(sides) - 1)
-
-
-def lattice(s: str) -> tuple[int, list[tuple[int, int, str, str, int]]]:
-    """Number of cells, and the edges (from, to, value, shape, words)."""
+    return "".join(kinds)
+
+
+def steps(sh: str) -> Iterator[tuple[str, str]]:
+    """(state, next kind) along a shape; a state is the last three kinds and the number of commas up to two."""
+    last, commas = "^^^", 0
+    for k in sh + "$":
+        yield f"{last}{commas}", k
+        last, commas = last[1:] + k, min(2, commas + (k == ","))
+
+
+def lattice(s: str) -> tuple[int, list[tuple[int, int, str, str, int, bool]]]:
+    """Number of cells, and the edges (from, to, value, shape, words, sure)."""
     cs = cells(s)
+    m = len(cs)
+    parted = [True, *(cs[k][3] == "strong" or cs[k][2] or cs[k - 1][2] for k in range(1, m)), True]  # before each cell, and at the end
     edges = []
-    for i, (start, _, quoted, _) in enumerate(cs):
-        for j in range(i, min(len(cs), i + MAX_CELLS)):
-            if j > i and (quoted or cs[j][2] or cs[j][3] == "strong"):
-                break
-            v = s[start : cs[j][1]].strip().strip(QUOTES if quoted else "\"“”«»").strip()
+    for i in range(m):
+        stop = next(k for k in range(i + 1, m + 1) if parted[k])
+        for j in sorted({*range(i + 1, min(stop, i + RUN) + 1), *([stop] if parted[i] else [])}):
+            quoted = cs[i][2]
+            v = s[cs[i][0] : cs[j - 1][1]].strip().strip(QUOTES if quoted else "\"“”«»").strip()
             v = v.rstrip(",; ").strip() if not quoted else v
-            sh = shape(v)
-            if not v:
-                continue
-            edges.append((i, j + 1, v, "q" + sh if quoted else sh, max(1, len(WORD.findall(v)) - v.count(","))))
-    return len(cs), edges
+            if v:
+                edges.append((i, j, v, shape(v), max(1, len(WORD.findall(v)) - v.count(",")), j == i + 1 and parted[i] and parted[j]))
+    return m, edges
+
+
+Chain = dict[tuple[str, str], float]
 
 
 class Model:
-    """Log-probability of an edge, from shape counts, a value's own count and the cost of a word."""
+    """Log-probability of an edge, from the chains of values' and of all runs' shapes, a value's own count and the cost of a word."""
+
+    def __init__(self, values: Chain, runs: Chain, total: float, words: float):
+        self.chains = [(c, self._states(c)) for c in (values, runs)]
+        self.total, self.word = max(total, 1.0), math.log(max(words, 2.0))
+        self.cached: dict[str, tuple[float, float]] = {}
 
-    def __init__(self, shapes: dict[str, float], total: float, words: float):
-        self.shapes, self.total, self.word = shapes, max(total, 1.0), math.log(max(words, 2.0))
-        self.mass = sum(shapes.values()) or 1.0
-        self.cached: dict[str, float] = {}
+    @staticmethod
+    def _states(chain: Chain) -> dict[str, float]:
+        out: dict[str, float] = defaultdict(float)
+        for (state, _), n in chain.items():
+            out[state] += n
+        return dict(out)
+
+    def _shape(self, sh: str) -> tuple[float, float]:
+        """Log-chance among values, and how far a count of such a value is held back."""
+        among = [sum(math.log((chain.get((st, k), 0.0) + SMOOTH) / (states.get(st, 0.0) + SMOOTH * KINDS)) for st, k in steps(sh)) for chain, states in self.chains]
+        return among[0], CAUTION * min(0.0, among[0] - among[1])
 
     def __call__(self, sh: str, words: int, own: float) -> float:
         if sh not in self.cached:
-            base = prior(sh.lstrip("q"))
-            self.cached[sh] = math.log((self.shapes.get(sh, 0.0) + base) / (self.mass + 1.0)) if self.shapes else math.log(base)
-        by_shape = self.cached[sh] - words * self.word
+            if len(self.cached) > 100_000:
+                self.cached.clear()
+            self.cached[sh] = self._shape(sh)
+        by_shape = self.cached[sh][0] - words * self.word
         others = own - 1.0  # without the field at hand
-        return by_shape if others <= 0.5 else math.log(math.exp(by_shape) + 0.5 * min(1.0, prior(sh.lstrip("q"))) * others / self.total)
+        if others <= 1e-3:
+            return by_shape
+        by_count = math.log(OWN * others / self.total) + self.cached[sh][1]
+        hi, lo = max(by_shape, by_count), min(by_shape, by_count)
+        return hi + math.log1p(math.exp(lo - hi))
 
 
-def _score(edges: list, own: list[float], model: Model) -> list[float]:
-    return [model(e[3], e[4], o) for e, o in zip(edges, own, strict=True)]
+def _score(m: int, edges: list, own: list[float], model: Model) -> list[float]:
+    return alike(m, edges, [model(e[3], e[4], o) for e, o in zip(edges, own, strict=True)], model.word)
 
 
 def posteriors(m: int, edges: list, scores: list[float]) -> list[float]:
@@ -178,6 +196,29 @@ def posteriors(m: int, edges: list, scores: list[float]) -> list[float]:
     return [math.exp(ahead[e[0]] + x + back[e[1]] - ahead[m]) for e, x in zip(edges, scores, strict=True)]
 
 
+def alike(m: int, edges: list, scores: list[float], word: float) -> list[float]:
+    """Scores in which a shape is also as likely as the field's other values have it: one field is printed in one way.
+
+    The others are those that the first forward-backward pass leaves little doubt of, without what overlaps the edge.
+    """
+    p = [x if x > SETTLED else 0.0 for x in posteriors(m, edges, scores)]
+    at: dict[int, list[int]] = defaultdict(list)
+    by_shape: dict[str, float] = defaultdict(float)
+    for n, e in enumerate(edges):
+        at[e[0]].append(n)
+        by_shape[e[3]] += p[n]
+    total, out = sum(p), []
+    for e, x in zip(edges, scores, strict=True):
+        over = [n for i in range(max(0, e[0] - RUN), e[1]) for n in at[i] if edges[n][1] > e[0]]
+        same = by_shape[e[3]] - sum(p[n] for n in over if edges[n][3] == e[3])
+        rest = total - sum(p[n] for n in over)
+        shared = math.log(ALIKE * same / (rest + 1)) - e[4] * word if same > SETTLED / 2 else -math.inf
+        own = math.log1p(-ALIKE) + x
+        hi, lo = max(own, shared), min(own, shared)
+        out.append(hi + math.log1p(math.exp(lo - hi)))
+    return out
+
+
 def best_path(m: int, edges: list, scores: list[float]) -> list[str]:
     """The values of the most likely split; ties go to the longer value."""
     best: list[tuple[float, int]] = [(-math.inf, -1)] * (m + 1)
@@ -193,7 +234,8 @@ def best_path(m: int, edges: list, scores: list[float]) -> list[str]:
     return out[::-1]
 
 
-_EDGES = "array<struct<i:int,j:int,val:string,shape:string,words:int>>"
+_NAMES = ("i", "j", "val", "shape", "words", "sure")
+_EDGES = "array<struct<i:int,j:int,val:string,shape:string,words:int,sure:boolean>>"
 
 
 def _lattices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,73 +244,104 @@ def _lattices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s in b["s"]:
             m, edges = lattice(s)
             if m:
-                rows.append((s, m, len(edges) > m, [dict(zip(("i", "j", "val", "shape", "words"), e, strict=True)) for e in edges]))
+                rows.append((s, m, len(edges) > m, [dict(zip(_NAMES, e, strict=True)) for e in edges]))
         yield pd.DataFrame(rows, columns=["s", "m", "open", "edges"])
 
 
 def _plain(edges) -> list[tuple]:
-    return [(e["i"], e["j"], e["val"], e["shape"], e["words"]) for e in edges]
+    return [tuple(e[k] for k in _NAMES) for e in edges]
+
 
+def _rows(sums: dict[tuple[str, str, str], float]) -> pd.DataFrame:
+    return pd.DataFrame([(*k, c) for k, c in sums.items()], columns=["kind", "x", "k", "c"])
 
-def _expect(model: Model):
+
+def _begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the sure values (v), their chain (s), and the chain of all runs (r)."""
+    for b in batches:
+        sums: dict[tuple[str, str, str], float] = defaultdict(float)
+        for edges in b["edges"]:
+            for e in _plain(edges):
+                if e[5]:
+                    sums["v", e[2], ""] += 1.0
+                for st, k in steps(e[3]):
+                    sums["r", st, k] += 1.0
+                    if e[5]:
+                        sums["s", st, k] += 1.0
+        yield _rows(sums)
+
+
+def _expect(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for b in batches:
-            sums: dict[tuple[str, str], float] = defaultdict(float)
+            sums: dict[tuple[str, str, str], float] = defaultdict(float)
+            shapes: dict[str, float] = defaultdict(float)
             for m, edges, own in zip(b["m"], b["edges"], b["own"], strict=True):
                 edges = _plain(edges)
-                for e, p in zip(edges, posteriors(m, edges, _score(edges, list(own), model)), strict=True):
+                for e, p in zip(edges, posteriors(m, edges, _score(m, edges, list(own), model)), strict=True):
                     if p > 1e-6:
-                        sums["v", e[2]] += p
-                        sums["s", e[3]] += p
-            yield pd.DataFrame([(k, x, c) for (k, x), c in sums.items()], columns=["kind", "x", "c"])
+                        sums["v", e[2], ""] += p
+                        shapes[e[3]] += p
+            for sh, p in shapes.items():
+                for st, k in steps(sh):
+                    sums["s", st, k] += p
+            yield _rows(sums)
 
     return run
 
 
-def _decide(model: Model):
+def _decide(shared):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for b in batches:
             rows = []
             for s, m, edges, own in zip(b["s"], b["m"], b["edges"], b["own"], strict=True):
                 edges = _plain(edges)
-                rows += [(s, k + 1, v) for k, v in enumerate(best_path(m, edges, _score(edges, list(own), model)))]
+                rows += [(s, k + 1, v) for k, v in enumerate(best_path(m, edges, _score(m, edges, list(own), model)))]
             yield pd.DataFrame(rows, columns=["s", "pos", "val"])
 
     return run
 
 
-def _with_counts(lat: DataFrame, counts: DataFrame | None) -> DataFrame:
+def _with_counts(lat: DataFrame, counts: DataFrame) -> DataFrame:
     """Adds ``own``: for each edge, the expected count of its value so far."""
-    if counts is None:
-        return lat.withColumn("own", F.transform("edges", lambda e: F.lit(0.0)))
     each = lat.select("s", F.posexplode("edges").alias("k", "e")).select("s", "k", F.col("e.val").alias("x"))
     got = each.join(counts, "x", "left").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("k", F.coalesce("c", F.lit(0.0)).alias("c")))).alias("_k"))
     return lat.join(got, "s").withColumn("own", F.transform("_k", lambda x: x.c)).drop("_k")
 
 
+_SUMS = "kind string, x string, k string, c double"
+
+
 def split_values(fields: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(s) with one row per field -> (s, pos, val) for every distinct field."""
+    spark = fields.sparkSession
     blank = F.regexp_replace("s", r"(?U)\s+", "") == ""
     distinct = fields.where(F.col("s").isNotNull() & ~blank).select("s").distinct()
     lat = materialise(distinct.mapInPandas(_lattices, f"s string, m int, open boolean, edges {_EDGES}"), "lattices")
-    sure, unsure = lat.where("NOT open"), lat.where("open")
-    fixed = sure.select(F.explode("edges").alias("e"))
-    fixed_values = fixed.groupBy(F.col("e.val").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("c"))
-    fixed_shapes = {r.x: r.c for r in fixed.groupBy(F.col("e.shape").alias("x")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    words = lat.agg(F.approx_count_distinct(F.col("edges")[0]["val"])).first()[0] or 2
-    counts: DataFrame | None = fixed_values
-    shapes, total = dict(fixed_shapes), float(sum(fixed_shapes.values()))
+    settled, unsure = lat.where("NOT open"), lat.where("open")
+    add = lambda df: df.groupBy("kind", "x", "k").agg(F.sum("c").alias("c"))
+    chain = lambda df, kind: {(r.x, r.k): r.c for r in df.where(F.col("kind") == kind).collect()}  # noqa: E731 - KINDS ** 4 times 3 rows at most
+    of = lambda df: df.where("kind = 'v'").select("x", "c")
+    begun = materialise(add(lat.select("open", "edges").mapInPandas(_begin, _SUMS)), "begun")
+    closed = materialise(add(settled.select("open", "edges").mapInPandas(_begin, _SUMS)), "closed")
+    runs, words = chain(begun, "r"), lat.agg(F.approx_count_distinct(F.col("edges")[0]["val"])).first()[0] or 2
+
+    def model(values: Chain, counts: DataFrame):
+        total = counts.agg(F.sum("c")).first()[0] or 0.0
+        return spark.sparkContext.broadcast(Model(values, runs, total, words))
+
+    counts, fixed = of(begun), chain(closed, "s")
+    now = model(chain(begun, "s"), counts)
     for _ in range(rounds):
-        model = Model(shapes, total, words)
-        expected = materialise(_with_counts(unsure, counts).select("m", "edges", "own").mapInPandas(_expect(model), "kind string, x string, c double").groupBy("kind", "x").agg(F.sum("c").alias("c")), "expected")
-        learned = Counter(fixed_shapes)
-        for r in expected.where("kind = 's'").collect():
-            learned[r.x] += r.c
-        shapes, total = dict(learned), float(sum(learned.values()))
-        counts = fixed_values.unionByName(expected.where("kind = 'v'").select("x", "c")).groupBy("x").agg(F.sum("c").alias("c"))
-    model = Model(shapes, total, words)
-    chosen = _with_counts(unsure, counts).select("s", "m", "edges", "own").mapInPandas(_decide(model), "s string, pos int, val string")
-    plain = sure.select("s", F.posexplode("edges").alias("k", "e")).select("s", (F.col("k") + 1).cast("int").alias("pos"), F.col("e.val").alias("val"))
+        expected = materialise(add(_with_counts(unsure, counts).select("m", "edges", "own").mapInPandas(_expect(now), _SUMS)), "expected")
+        learned = Counter(fixed)
+        learned.update(chain(expected, "s"))
+        counts = of(closed).unionByName(of(expected)).groupBy("x").agg(F.sum("c").alias("c"))
+        now = model(dict(learned), counts)
+    chosen = _with_counts(unsure, counts).select("s", "m", "edges", "own").mapInPandas(_decide(now), "s string, pos int, val string")
+    plain = settled.select("s", F.posexplode("edges").alias("k", "e")).select("s", (F.col("k") + 1).cast("int").alias("pos"), F.col("e.val").alias("val"))
     return plain.unionByName(chosen)
 
 

@@ -1,5 +1,6 @@
 import io
 import json
+import random
 import struct
 import zipfile
 
@@ -199,3 +200,35 @@ def test_salted_ranks(spark):
     got = salted_row_number(df, ["k"], ["id"], "rn").groupBy("k").agg({"rn": "max"}).collect()
     assert {r[0]: r[1] for r in got} == {"hot": 900, "cold": 100}
     assert salted_row_number(df, ["k"], ["id"], "rn").select("k", "rn").distinct().count() == 1000
+
+
+def test_column_of_wares_needs_no_names(spark):
+    """Wares, some with an inner comma that no delimiter ever settles: only what recurs as a whole tells them from two."""
+    rnd = random.Random(4)
+    plain = "oak pine resin wax copper linen chalk amber felt cork slate hemp wool zinc".split()
+    inner = ["salt, sea", "cheese, mild", "paper, ruled", "thread, waxed", "oil, raw"]
+    settled = ['"glue, thick"; cork', '"cloth, fine"; wool', '"paint, dry"; "soap, soft"', "resin | oak", '"ink, blue" | zinc', '"rope, long"; "wire, thin"']
+    fields, want = list(settled), {}
+    for _ in range(150):
+        items = rnd.sample(plain, 3) + rnd.sample(inner, 1)
+        rnd.shuffle(items)
+        fields.append(", ".join(items))
+        want[fields[-1]] = items
+    df = spark.createDataFrame([(x,) for x in fields], "s string")
+
+    def found(rounds):
+        got = {}
+        for r in M.split_values(df, rounds).orderBy("s", "pos").collect():
+            got.setdefault(r.s, []).append(r.val)
+        return {k: got[k] for k in want}
+
+    right = lambda got: sum(got[k] == v for k, v in want.items()) / len(want)
+    assert right(found(3)) > 0.85
+    assert right(found(0)) < 0.35  # without expectation-maximisation
+
+
+def test_long_values_and_many_cells():
+    whole = "Board of " + ", ".join(f"Ward {i}" for i in range(30))
+    m, edges = M.lattice(f"A. Lee; {whole}; B. Roe")
+    assert m == 32 and whole in {e[2] for e in edges} and len(edges) < 32 * (M.RUN + 1)
+    assert M.lattice("")[0] == 0 and M.lattice(" ;, ; ")[0] == 0
