@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.runtime import materialise, maybe_broadcast
@@ -69,8 +69,6 @@ def points(vectors: DataFrame) -> DataFrame:
     low = ranked.groupBy("key").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n"))
     several = low.where("n > 1")
     # the lowest ids of classes of copies: partial top-k before the shuffle, so a hot class stays small
-    from pyspark.sql import Window
-
     top = ranked.join(several.select("key"), "key", "left_semi").withColumn("_r", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("_r") <= K + 1)
     lows = top.groupBy("key").agg(F.sort_array(F.collect_list("vec_id")).alias("low"))
     one = low.join(lows, "key", "left").select("id", "n", F.coalesce("low", F.array("id")).alias("low"))
@@ -230,6 +228,14 @@ def _round(df: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"id": ids[own], "near": out})
 
 
+def best_reverse(edges: DataFrame, parts: int = 32) -> DataFrame:
+    """(to, e) -> (id, r): the WIDTH best entries that point to a point; those of a hub are cut in ``parts`` before they meet."""
+    best = lambda c: F.slice(F.sort_array(c, asc=False), 1, WIDTH)
+    ranked = Window.partitionBy("to", "part").orderBy(F.desc("e.sim"), F.desc("e.id"))
+    kept = edges.withColumn("part", F.pmod(F.xxhash64("e.id"), F.lit(parts))).withColumn("n", F.row_number().over(ranked)).where(F.col("n") <= WIDTH)
+    return kept.groupBy("to").agg(best(F.collect_list("e")).alias("r")).withColumnRenamed("to", "id")
+
+
 def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
     """One round: neighbours of neighbours, brought to the block of every point.
 
@@ -240,7 +246,7 @@ def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
     pick = lambda c, flag: F.transform(F.filter(c, lambda x: x.new if flag else ~x.new), lambda x: x.id)
     # of the points that list a point the most similar ones; sort_array over the partial lists needs no window
     edges = top.select("id", F.explode("n").alias("x")).select(F.col("x.id").alias("to"), F.struct(F.col("x.sim").alias("sim"), F.col("id"), F.col("x.new").alias("new")).alias("e"))
-    rev = edges.groupBy("to").agg(F.slice(F.sort_array(F.collect_list("e"), asc=False), 1, WIDTH).alias("r")).withColumnRenamed("to", "id")
+    rev = best_reverse(edges)
     none = F.array().cast("array<long>")
     lists = top.join(rev, "id", "left").join(home, "id").join(pts.select("id", "v"), "id")
     lists = lists.select(
@@ -281,7 +287,6 @@ def graph(pts: DataFrame, settled: float = SETTLED, block: int = BLOCK) -> DataF
     home, near = materialise(home, "home"), materialise(near, "near")
     while True:
         near = materialise(descend(pts, home, near), "near")
-        pts.sparkSession.sparkContext._jvm.System.gc()  # shuffle files of earlier rounds can go
         if changed(near) < settled:
             break
     return near
@@ -324,6 +329,22 @@ def entries(pts: DataFrame, queries: DataFrame, block: int = BLOCK) -> DataFrame
     return laid.where("NOT own").select("block", F.col("id").alias("query_id")).join(here, "block").select("query_id", F.explode("some.id").alias("id")).distinct()
 
 
+def _at_entries(queries: DataFrame, entry: DataFrame) -> DataFrame:
+    """(query_id, id, sim) of every query (query_id, q) and the ENTRIES points, a matrix that every task has."""
+    rows = entry.collect()  # ENTRIES at most
+    ids, m = np.array([r.id for r in rows], dtype=np.int64), np.stack([np.frombuffer(r.e, dtype=np.float64) for r in rows]) if rows else None
+    shared = queries.sparkSession.sparkContext.broadcast((ids, m))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, m = shared.value
+        for b in batches:
+            if len(b) and len(ids):
+                sims = np.frombuffer(b"".join(b["q"]), dtype=np.float64).reshape(len(b), -1) @ m.T
+                yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), len(ids)), "id": np.tile(ids, len(b)), "sim": sims.ravel()})
+
+    return queries.select("query_id", "q").mapInPandas(run, "query_id long, id long, sim double")
+
+
 def search(pts: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, beam: int = 32, step: int = 4, block: int = BLOCK) -> DataFrame:
     """Greedy search: queries (query_id, e as 8-byte unit vector) -> (query_id, rank, id, similarity).
 
@@ -339,7 +360,7 @@ def search(pts: DataFrame, near: DataFrame, queries: DataFrame, k: int = K, beam
 
     q = materialise(queries.select("query_id", F.col("e").alias("q")), "queries")
     beside = entries(pts, queries, block).join(entry.select("id"), "id", "left_anti").join(pts.select("id", "e"), "id").join(q, "query_id")
-    met = dots(q.crossJoin(F.broadcast(entry))).unionByName(dots(beside))  # every query meets the few entry points
+    met = _at_entries(q, entry).unionByName(dots(beside))
     kept = F.slice(F.sort_array(F.collect_list(F.struct("sim", "id", F.lit(False).alias("done"))), asc=False), 1, beam)
     state = materialise(met.groupBy("query_id").agg(kept.alias("best")).withColumn("seen", F.transform("best", lambda x: x.id)), "state")
     links = near.select("id", F.transform("near", lambda x: x.id).alias("fwd"))

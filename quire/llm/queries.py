@@ -95,10 +95,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every vector whose id is divisible by 50, against all."""
-    _, pts, near = _graph(spark, d)
-    asked = pts.where("id % 50 = 0").select(F.col("id").alias("query_id"), "e")
-    return neighbours.search(pts, near, asked)
+    """Every vector whose id is divisible by 50, copies too, against all."""
+    vectors, pts, near = _graph(spark, d)
+    asked = neighbours.members(vectors).where("vec_id % 50 = 0")
+    found = neighbours.search(pts, near, pts.join(asked.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "e"))
+    return asked.join(found.withColumnRenamed("id", "point"), asked["id"] == found["query_id"]).select(F.col("vec_id").alias("query_id"), "rank", F.col("point").alias("id"), "similarity")
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
