@@ -260,3 +260,29 @@ def test_no_rows_to_match(works):
     files, entries, _ = works
     assert M.match(files.where("false"), entries).count() == 0
     assert M.match(files, entries.where("false")).count() == 0
+
+
+def test_linked_files_agree(spark):
+    schema = "a long, b long, kind string, title double, subtitle double, persons double, year double, mark double, g double"
+    none = (None,) * 5
+    rows = [(1, 2, "within", *none, 0.95), (1, 10, "across", *none, 0.99), (2, 10, "across", *none, 0.3), (1, 11, "across", *none, 0.01), (2, 11, "across", *none, 0.6), (3, 11, "across", *none, 0.6), (1, 12, "across", *none, 0.9)]
+    got = {(r.a, r.b): r.g for r in M.transitive(spark.createDataFrame(rows, schema)).where("kind = 'across'").collect()}
+    assert got[2, 10] == pytest.approx(0.99 * 0.95) and got[2, 12] == pytest.approx(0.9 * 0.95)  # raised, and come in
+    assert got[2, 11] < 0.5 and got[3, 11] == 0.6  # lowered, but only of a linked file
+
+
+def test_blocking_keys_meet_what_brute_force_finds(works):
+    """Candidates against all pairs of the files whose id is divisible by 50 that are alike in title."""
+    files, entries, _ = works
+    a, b = M.records(files, spread=1)[0].cache(), M.records(entries)[0].cache()
+    pairs = {(r.a, r.b) for r in M.candidates(a, b).where("kind = 'across'").collect()}
+    some, all_ = [r for r in a.collect() if r.rid % 50 == 0], b.collect()
+    alike = {(x.rid, y.rid) for x in some for y in all_ if x.main and y.main and M.title_similarity((x.main, x.sub), (y.main, y.sub), False) >= 0.8}
+    assert len(alike) > 5 and len(alike & pairs) / len(alike) > 0.98
+
+
+def test_bins_are_bounded(spark):
+    rnd = random.Random(1)
+    rows = [tuple(rnd.choice([None, rnd.random()]) for _ in range(3)) + (rnd.choice([None, 1.0, 0.7]), rnd.choice([None, 0.0, 1.0])) for _ in range(2000)]
+    x, n = M.binned(spark.createDataFrame(rows, "title double, subtitle double, persons double, year double, mark double"))
+    assert n.sum() == 2000 and len(n) <= M.BINS and x.shape == (len(n), 5)
