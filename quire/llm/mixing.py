@@ -28,6 +28,8 @@ SEED = 7
 PARTS = 1024
 #: A source may end so much above its quota, as part of it; else a last document can miss by a token or two.
 SLACK = 0.001
+#: Documents of each size (to a power of two) among which a source's last ones are chosen.
+TAIL = 8
 
 
 def min_cost_flow(quota: dict[str, int], room: dict[tuple[str, ...], int], repeats: dict[str, int]) -> dict[tuple[str, tuple[str, ...]], int]:
@@ -121,7 +123,7 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     bins = pattern.groupBy("mix_name", "pattern", "bin").agg(F.sum("n_tokens").alias("w"))
     room = bins.groupBy("mix_name", "pattern").agg(F.sum("w").alias("w")).collect()  # one row per membership pattern
     plan = []
-    for name, rows in _by(wanted.collect(), "mix_name").items():
+    for name, rows in _by([(r, r.mix_name) for r in wanted.collect()]).items():
         shares, repeats = {r.source: r.target_share for r in rows}, {r.source: r.max_repeats for r in rows}
         rooms = {tuple(r.pattern.split("\x1f")): r.w for r in room if r.mix_name == name}
         held: dict[str, int] = defaultdict(int)
@@ -138,7 +140,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     before = Window.partitionBy("mix_name", "pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w")
     within = Window.partitionBy("mix_name", "pattern", "bin").orderBy("order", "text_key").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pattern.join(maybe_broadcast(bins), ["mix_name", "pattern", "bin"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    # one shuffle serves this join and the window; sent to all, the bins would be patterns x PARTS rows
+    placed = pattern.join(bins.hint("merge"), ["mix_name", "pattern", "bin"]).withColumn("at", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     routed = placed.join(maybe_broadcast(routes), ["mix_name", "pattern"])
     # a text has the extra use if all of it lies in the source's range [off, off + rest) of the pattern, taken as a circle
     gone = F.pmod(F.col("at") - F.col("off"), F.col("w"))
@@ -148,10 +151,8 @@ def mix(sizes: DataFrame, targets: DataFrame, total_tokens: int | None = None, s
     goal = routes.groupBy("mix_name", "source").agg(F.sum(F.col("passes") * F.col("w") + F.col("rest")).alias("goal"))
     for _ in range(2):
         pool = materialise(_fill_prefix(pool, goal, wanted), "pool")
-    for _ in range(4):  # of the least used documents the largest that still fits, a few times
-        best = F.max_by("doc_id", F.struct(-F.col("copies"), "n_tokens", "order", "doc_id"))
-        add = _open(pool, goal, wanted).where("n_tokens <= gap").groupBy("mix_name", "source").agg(best.alias("doc_id")).withColumn("more", F.lit(1))
-        pool = materialise(pool.join(F.broadcast(add), ["mix_name", "source", "doc_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"), "pool")
+    add = spark.createDataFrame(_last(_tail(pool, goal, wanted).collect()), "mix_name string, source string, doc_id long, more int")  # TAIL for each power of two and source
+    pool = materialise(pool.join(F.broadcast(add), ["mix_name", "source", "doc_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more"), "pool")
     chosen = pool.where("copies > 0").select("mix_name", "source", "doc_id", "n_tokens", F.col("copies").cast("int").alias("copies"))
     got = chosen.groupBy("mix_name", "source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     shares = wanted.join(got, ["mix_name", "source"], "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("documents", F.coalesce("documents", F.lit(0))).withColumn("most_copies", F.coalesce("most_copies", F.lit(0)))
@@ -166,6 +167,25 @@ def _open(pool: DataFrame, goal: DataFrame, wanted: DataFrame) -> DataFrame:
     return pool.join(F.broadcast(gap), ["mix_name", "source"]).where("copies < max_repeats")
 
 
+def _tail(pool: DataFrame, goal: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Of the documents that fit into what a source lacks, ``TAIL`` of every power of two in size: the least used, then the largest."""
+    free = _open(pool, goal, wanted).where("n_tokens <= gap").withColumn("size", F.floor(F.log2(F.col("n_tokens").cast("double"))))
+    rank = Window.partitionBy("mix_name", "source", "size").orderBy("copies", F.desc("n_tokens"), "order", "doc_id")
+    return free.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= TAIL).select("mix_name", "source", "doc_id", "n_tokens", "copies", "gap")
+
+
+def _last(rows: list) -> list[tuple[str, str, int, int]]:
+    """One more use of the largest of the least used documents that fit, until none fits."""
+    out = []
+    for (name, source), own in _by([(r, (r.mix_name, r.source)) for r in rows]).items():
+        gap = own[0].gap
+        for r in sorted(own, key=lambda r: (r.copies, -r.n_tokens, r.doc_id)):
+            if r.n_tokens <= gap:
+                gap -= r.n_tokens
+                out.append((name, source, r.doc_id, 1))
+    return out
+
+
 def _fill_prefix(pool: DataFrame, goal: DataFrame, wanted: DataFrame) -> DataFrame:
     """One more use of documents of up to an eighth of the gap, least used first and then in seeded order, while their sum stays within it."""
     free = _open(pool, goal, wanted).where("n_tokens * 8 <= gap").withColumn("part", F.col("copies") * PARTS + F.pmod(F.shiftright("order", 20), F.lit(PARTS)))
@@ -173,13 +193,14 @@ def _fill_prefix(pool: DataFrame, goal: DataFrame, wanted: DataFrame) -> DataFra
     before = Window.partitionBy("mix_name", "source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("w").over(before), F.lit(0))).drop("w")
     within = Window.partitionBy("mix_name", "source", "part").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    upto = free.join(maybe_broadcast(sums), ["mix_name", "source", "part"]).where("before < gap").withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
+    upto = free.join(sums.hint("merge"), ["mix_name", "source", "part"]).where("before < gap").withColumn("upto", F.col("before") + F.sum("n_tokens").over(within))
     more = upto.where("upto <= gap").select("mix_name", "source", "doc_id", F.lit(1).alias("more"))
     return pool.join(more, ["mix_name", "source", "doc_id"], "left").withColumn("copies", F.col("copies") + F.coalesce("more", F.lit(0))).drop("more")
 
 
-def _by(rows: list, key: str) -> dict[str, list]:
-    out: dict[str, list] = defaultdict(list)
-    for r in rows:
-        out[r[key]].append(r)
+def _by(rows: list[tuple]) -> dict:
+    """Rows by key, from pairs of both."""
+    out: dict = defaultdict(list)
+    for r, key in rows:
+        out[key].append(r)
     return out

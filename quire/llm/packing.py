@@ -2,8 +2,8 @@
 
 Only the counts of items by length matter for a good filling, and there are at most ``capacity`` lengths, so the plan
 is made on the driver from that bounded table, whatever the number of items. Exact-complement hashing: for the gap
-that a container has left, look for one available length that fills it exactly, then a pair, then a triple (by the
-presence table of pair sums); if there is none, put in the longest length that fits (best fit) and look again for the
+that a container has left, look for one available length that fills it exactly, then a pair, then a triple (by a table
+of the sums of two available lengths; a sum that fails is struck out, so each fails once); if there is none, put in the longest length that fits (best fit) and look again for the
 smaller gap. A pattern is used as often as the counts allow, so every step uses up a length.
 
 Items get ranks within their length and are joined with the slots of the patterns on (length, rank), a key without
@@ -24,7 +24,7 @@ from quire.runtime import salted_row_number
 
 Pattern = tuple[list[int], int]  # lengths in one container, number of such containers
 
-#: Containers that one row of the plan stands for, so that no task makes too many slots.
+#: Containers that are made from one row, so that no task makes too many slots.
 SLOT_CHUNK = 5_000
 
 
@@ -35,16 +35,11 @@ class Index:
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         for length, n in counts.items():
             self.left[length] += n
-        self.stale = 0
-        self.refresh()
-
-    def refresh(self) -> None:
-        """Which sums two available lengths have (a presence table, rebuilt now and then; finds are verified)."""
         here = (self.left > 0).astype(np.float64)
         size = 1 << (2 * len(here)).bit_length()
         f = np.fft.rfft(here, size)
+        #: whether two available lengths may have a sum; lengths are only used up, so what is false stays so
         self.pairs = np.fft.irfft(f * f, size)[: len(here)] > 0.5
-        self.stale = 0
 
     def single(self, gap: int) -> list[int] | None:
         return [gap] if self.left[gap] > 0 else None
@@ -62,15 +57,18 @@ class Index:
         return [gap - i - 1, i + 1] if len(ok) and ok[i] else None
 
     def triple(self, gap: int) -> list[int] | None:
+        """A triple that fills the gap, with the longest first length that has a pair beside it."""
         if gap < 3:
             return None
         firsts = np.flatnonzero((self.left[1 : gap - 1] > 0) & self.pairs[gap - 1 : 1 : -1]) + 1
-        for a in firsts[::-1][:8].tolist():
+        for a in firsts[::-1].tolist():
             self.left[a] -= 1
             found = self.pair(gap - a)
             self.left[a] += 1
             if found:
                 return [a, *found]
+            if not self.pair(gap - a):
+                self.pairs[gap - a] = False
         return None
 
     def exact(self, gap: int) -> list[int] | None:
@@ -106,9 +104,6 @@ def plan(counts: dict[int, int], capacity: int) -> list[Pattern]:
         for x, n in uses.items():
             index.left[x] -= n * again
         out.append((taken, again + 1))
-        index.stale += 1
-        if index.stale >= 64:
-            index.refresh()
     return out
 
 
@@ -121,21 +116,21 @@ def parts(sizes: DataFrame, capacity: int) -> DataFrame:
 
 
 def _slots(spark: SparkSession, patterns: list[Pattern]) -> DataFrame:
-    """(length, rank, container): one row per place in a container, made by the executors from the patterns."""
+    """(length, rank, container): one row per place in a container, made by the executors from the patterns alone."""
     rows, used, container = [], {}, 0
     for taken, times in patterns:
         uses = sorted({x: taken.count(x) for x in taken}.items())
-        for at in range(0, times, SLOT_CHUNK):
-            n = min(SLOT_CHUNK, times - at)
-            rows.append((container, n, [(x, k, used.get(x, 0)) for x, k in uses]))
-            for x, k in uses:
-                used[x] = used.get(x, 0) + n * k
-            container += n
-    df = spark.createDataFrame(rows, "base long, n int, uses array<struct<length:int,k:int,rank:long>>")
-    df = df.repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism * 4)))
-    one = df.select("base", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("c"), "uses").select("base", "c", F.explode("uses").alias("u"))
+        rows.append((container, times, [(x, k, used.get(x, 0)) for x, k in uses]))
+        for x, k in uses:
+            used[x] = used.get(x, 0) + times * k
+        container += times
+    df = spark.createDataFrame(rows, "base long, times long, uses array<struct<length:int,k:int,rank:long>>")
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / SLOT_CHUNK))).alias("chunk")
+    chunks = df.select("base", "times", "uses", chunk).repartition(spark.sparkContext.defaultParallelism * 4)
+    first = F.col("chunk") * SLOT_CHUNK
+    one = chunks.select("base", "uses", F.explode(F.sequence(first, F.least(first + SLOT_CHUNK, F.col("times")) - 1)).alias("c")).select("base", "c", F.explode("uses").alias("u"))
     place = one.select("base", "c", "u", F.explode(F.sequence(F.lit(1), F.col("u.k"))).alias("i"))
-    return place.select(F.col("u.length").alias("length"), (F.col("u.rank") + F.col("c").cast("long") * F.col("u.k") + F.col("i")).alias("rank"), (F.col("base") + F.col("c") + 1).alias("container"))
+    return place.select(F.col("u.length").alias("length"), (F.col("u.rank") + F.col("c") * F.col("u.k") + F.col("i")).alias("rank"), (F.col("base") + F.col("c") + 1).alias("container"))
 
 
 def pack(sizes: DataFrame, capacity: int) -> DataFrame:
