@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only if it has at most this many rows (of the few narrow columns that are sent).
+#: A side is broadcast only if it has at most this many rows and bytes.
 BROADCAST_ROWS = 300_000
+BROADCAST_BYTES = 32 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -19,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -26,20 +31,43 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def _work(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}"
+
+
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
+    """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back; ``clean_up`` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quire/{name}-{uuid.uuid4().hex}"
+    path = f"{_work(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def clean_up(spark: SparkSession) -> None:
+    """Delete the tables that this application has materialised, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_work(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _width(df: DataFrame) -> Column:
+    """Bytes of a row, about."""
+    total = F.lit(8 * len(df.columns))
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0))
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            total = total + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0))
+    return total
+
+
+def maybe_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast if ``df`` is small enough, else leave the join to a shuffle (AQE splits its skew).
 
-    The check stops counting at the bound, so it is cheap for any size.
+    The check stops at the bound of rows, so it is cheap for any size.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    got = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("rows"), F.sum(_width(df)).alias("bytes")).first()
+    return F.broadcast(df) if got.rows <= max_rows and (got.bytes or 0) <= max_bytes else df
 
 
 def salted_row_number(df: DataFrame, keys: list[str], order: list[str], out: str = "rn", salts: int | None = None) -> DataFrame:
@@ -57,7 +85,8 @@ def salted_row_number(df: DataFrame, keys: list[str], order: list[str], out: str
     offsets = sizes.withColumn("_below", F.coalesce(F.sum("count").over(below), F.lit(0))).drop("count")
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     numbered = salted.withColumn("_n", F.row_number().over(inner))
-    joined = numbered.join(offsets, [*keys, "_salt"]) if keys else numbered.join(F.broadcast(offsets), "_salt")
+    # the window's partitions serve the join; offsets may be as many as keys times salts
+    joined = numbered.join(offsets.hint("merge"), [*keys, "_salt"]) if keys else numbered.join(F.broadcast(offsets), "_salt")
     return joined.withColumn(out, (F.col("_n") + F.col("_below")).cast("long")).drop("_n", "_below", "_salt")
 
 

@@ -38,3 +38,23 @@ def test_windows(spark, tmp_path):
     q = SJ.windowed_usage(s).writeStream.format("memory").queryName("usage_windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert [(r.searches, r["empty"], r.failed) for r in spark.table("usage_windows").orderBy("start").collect()] == [(2, 1, 1), (2, 2, 0)]
+
+
+def test_broadcasts_are_bounded_in_bytes(spark):
+    from quire.runtime import maybe_broadcast
+
+    hinted = lambda df: "ResolvedHint" in df._jdf.queryExecution().analyzed().toString()
+    wide = spark.range(100).selectExpr("id", "repeat('x', 1000) AS body", "array(id, id) AS ids")
+    assert hinted(maybe_broadcast(wide)) and not hinted(maybe_broadcast(wide, max_bytes=50_000)) and not hinted(maybe_broadcast(wide, max_rows=99))
+
+
+def test_tables_are_cleaned_up(spark):
+    from pathlib import Path
+
+    from quire.runtime import clean_up, materialise, shared_dir
+
+    assert materialise(spark.range(5)).count() == 5
+    work = Path(shared_dir(spark).removeprefix("file:")) / "quire" / spark.sparkContext.applicationId
+    assert list(work.iterdir())
+    clean_up(spark)
+    assert not work.exists() and materialise(spark.range(3)).count() == 3
