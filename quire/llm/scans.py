@@ -62,7 +62,7 @@ e c | o 0 | n ri | t f | l 1 | d cl | cl d | s 5 | i l | h b | u ii | w vv | m r
 HYPHENS = "-‐¬­"
 BROKEN = re.compile(rf"(?<=[^\W\d_])[{HYPHENS}][^\S\n]*\n[^\S\n]*(?=[^\W_])")
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
-COMPOUND = re.compile(r"(?<![\w-])[^\W\d_]+[-‐][^\W\d_]+(?![\w-])")
+HYPHEN = re.compile(r"[-‐](?P<line>[^\S\n]*\n[^\S\n]*)?(?=[^\W_])")
 ENDS = re.compile(r"[.!?…:;,][\"'»”’)\]]*$")
 STOPS = re.compile(r"[.!?…][\"'»”’)\]]*$")
 FOLIO = re.compile(r"^[\[({<—–\-•|~*=·\s]*(?:(?:p|pp|page|pag|с|стр|s|seite)\.?\s*)?((?:[\dlIOoSB|]\s?){1,5}|[ivxlc]{1,8}|[IVXLC]{1,8})(?:\s*(?:of|/|из|von)\s*\d+)?[\])}>—–\-•|~*=·\s]*$", re.I)
@@ -258,35 +258,45 @@ def edge_keys(lines: list[str]) -> set[str]:
     return {key for i in {i for side in edge_lines(lines) for i in side[:2]} if headed(lines[i]) and len(key := line_key(lines[i])) >= 4}
 
 
-def breaks(body: str) -> list[str]:
-    """Words broken over lines, as ``left-right``."""
-    return [f"{m.group(1)}-{m.group(3)}".lower() for m in SIDES.finditer(body) if m.group(2) in "-‐"] if "\n" in body else []
+def hyphened(body: str) -> tuple[list[str], list[str]]:
+    """Words with a hyphen, as ``left-right``: those within a line, and those broken over lines."""
+    inner, broken = [], []
+    for m in HYPHEN.finditer(body):
+        i, j = m.start(), m.end()
+        while i and body[i - 1].isalnum():
+            i -= 1
+        while j < len(body) and body[j].isalnum():
+            j += 1
+        if i < m.start():
+            (inner if m["line"] is None else broken).append(f"{body[i : m.start()]}-{body[m.end() : j]}".lower())
+    return inner, broken
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a partition: counts of words (kind w), of words with an inner hyphen (c) and broken ones (b); keys of heads at edges (e)."""
-    held: Counter = Counter()
+    words, inner, broken = Counter(), Counter(), Counter()
     edges: dict[tuple[int, str], tuple[int, int]] = {}
     for b in batches:
         for chunk, source, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-            held.update(("w", w) for w in words_of(body))
-            held.update(("c", w.replace("‐", "-").lower()) for w in COMPOUND.findall(body))
-            held.update(("b", w) for w in breaks(body))
+            words.update(words_of(body))
+            if "-" in body or "‐" in body:
+                for counter, found in zip((inner, broken), hyphened(body), strict=True):
+                    counter.update(found)
             for key in edge_keys(body.split("\n")):
                 lo, hi = edges.get((source, key), (chunk, chunk))
                 edges[source, key] = (min(lo, chunk), max(hi, chunk))
-        if len(held) > 400_000:
-            yield _rows(held, edges)
-            held, edges = Counter(), {}
-    yield _rows(held, edges)
+        if len(words) > 400_000:
+            yield _rows({"w": words, "c": inner, "b": broken}, edges)
+            words, inner, broken, edges = Counter(), Counter(), Counter(), {}
+    yield _rows({"w": words, "c": inner, "b": broken}, edges)
 
 
-def _rows(held: Counter, edges: dict) -> pa.RecordBatch:
-    n, m = len(held), len(edges)
+def _rows(held: dict[str, Counter], edges: dict) -> pa.RecordBatch:
+    n, m = sum(map(len, held.values())), len(edges)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([k for k, _ in held] + ["e"] * m, pa.string()), pa.array([None] * n + [s for s, _ in edges], pa.int64()), pa.array([*(w for _, w in held), *(k for _, k in edges)], pa.string()),
-            pa.array([*held.values(), *([0] * m)], pa.int64()), pa.array([None] * n + [lo for lo, _ in edges.values()], pa.int64()), pa.array([None] * n + [hi for _, hi in edges.values()], pa.int64()),
+            pa.array([k for k, c in held.items() for _ in c] + ["e"] * m, pa.string()), pa.array([None] * n + [s for s, _ in edges], pa.int64()), pa.array([*(w for c in held.values() for w in c), *(k for _, k in edges)], pa.string()),
+            pa.array([*(x for c in held.values() for x in c.values()), *([0] * m)], pa.int64()), pa.array([None] * n + [lo for lo, _ in edges.values()], pa.int64()), pa.array([None] * n + [hi for _, hi in edges.values()], pa.int64()),
         ],
         names=["kind", "source", "x", "n", "lo", "hi"],
     )
@@ -639,7 +649,7 @@ def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for item, source, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
             text = joined(body)
             out += [(item, None, "w", w) for w in {w.lower() for w in TOKEN.findall(text)} | {w.lower() for w in TOKEN.findall(body)}]
-            out += [(item, None, "b", x) for x in set(breaks(body))]
+            out += [(item, None, "b", x) for x in set(hyphened(body)[1])]
             out += [(item, source, "e", x) for x in edge_keys(body.split("\n"))]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string()))], names=["item_id", "source_id", "kind", "x"])
 
