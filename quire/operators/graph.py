@@ -41,8 +41,8 @@ def resolve(citations: DataFrame, described: DataFrame, heads: DataFrame, source
     described: key (file hash), kind, doi, isbn, title, year. heads: hash, kind, path, head.
 
     Four equi-joins: by DOI; by ISBN, to books, where a ten-digit number may lie within a longer one; by title and
-    year; and by a title of four and more words found in the first page, blocked on its second and third word, which
-    stand whole in the page wherever the title begins and ends. A file never cites itself. With ``keep`` an entry that stops matching keeps what it had.
+    year; and by a title of four and more words found in the first page, blocked on the rarest of its inner pairs of words,
+    which stand whole in the page wherever the title begins and ends. A file never cites itself. With ``keep`` an entry that stops matching keeps what it had.
     """
     own = citations.select("paper", "list", "ord", F.lower("doi").alias("doi"), "isbn", "year", T.normalize_title(F.col("title")).alias("t")).dropDuplicates(["paper", "list", "ord"])
     d = described.select("key", "kind", F.lower("doi").alias("ddoi"), F.regexp_replace("isbn", "[^0-9Xx]", "").alias("disbn"), T.normalize_title(F.col("title")).alias("dt"), F.col("year").alias("dy"))
@@ -53,9 +53,14 @@ def resolve(citations: DataFrame, described: DataFrame, heads: DataFrame, source
     )
     by_isbn = own.where("isbn <> ''").join(parts, F.col("isbn") == F.col("part")).select(*base, "key", F.lit("isbn").alias("way"))
     by_title = own.where("t <> '' AND year IS NOT NULL").join(d.where("dt <> ''"), (F.col("t") == F.col("dt")) & (F.col("year") == F.col("dy"))).select(*base, "key", F.lit("title").alias("way"))
-    titled = own.where(F.size(F.split("t", " ")) >= MIN_TITLE_WORDS).withColumn("gram", F.array_join(F.slice(F.split("t", " "), 2, 2), " "))
-    grams = heads.select(F.col("hash").alias("key"), "head", F.explode(_windows(F.col("head"))).alias("gram"))
-    by_page = titled.join(grams, "gram").where(F.contains("head", F.col("t"))).select(*base, "key", F.lit("page").alias("way"))
+    words = F.split("t", " ")
+    titled = own.where(F.size(words) >= MIN_TITLE_WORDS)
+    grams = heads.select(F.col("hash").alias("key"), F.explode(_windows(F.col("head"))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    inner = titled.select("t", F.explode(_windows(F.array_join(F.slice(words, F.lit(2), F.size(words) - 2), " "))).alias("gram")).distinct()
+    rarest = inner.join(often, "gram", "left").groupBy("t").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    met = titled.join(rarest, "t").join(grams, "gram").join(heads.select(F.col("hash").alias("key"), "head"), "key")
+    by_page = met.where(F.contains("head", F.col("t"))).select(*base, "key", F.lit("page").alias("way"))
     shelf = best_sources(sources).select(F.col("hash").alias("key"), F.col("kind").alias("k"), "path")
     cand = by_doi.unionByName(by_isbn).unionByName(by_title).unionByName(by_page).where("key <> paper").distinct()
     ranked = cand.join(maybe_broadcast(shelf), "key", "left").withColumn("rank", F.element_at(F.create_map(*[F.lit(x) for kv in WAYS.items() for x in kv]), F.col("way")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.runtime import ranged_row_number
 
 EDGE_LINES = 5
 MAX_FOLIO = 9999
@@ -60,7 +61,7 @@ def page_chunks(pages: DataFrame, key: str, page: str = "page", body: str = "bod
     """(key, ord, page, body): pages worth keeping, stripped, numbered from 1 in order."""
     c = F.col(body)
     kept = pages.where(~T.front_or_back(c) & ~T.unreadable(c)).select(key, page, T.strip(c).alias("body"))
-    return kept.withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy(page))).select(key, "ord", page, "body")
+    return ranged_row_number(kept, key, page, "ord").select(key, "ord", page, "body")
 
 
 def thin(chunks: DataFrame, files: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import stem as S
 from quire.functions import text as T
-from quire.runtime import maybe_broadcast
+from quire.runtime import maybe_broadcast, ranged_neighbours
 
 RRF_K = 60
 DEFAULT_LIMIT, MAX_LIMIT, MAX_DEPTH, RERANKED = 10, 50, 500, 20
@@ -234,6 +234,22 @@ def headline(body: str, terms: set[str], language: str, words: int = 28, fragmen
     return " ... ".join(out)
 
 
+def snippet(body: Column, q: Query, stemmed: bool = False) -> Column:
+    """The headline of each hit for a query's terms, for the few rows of a page of results."""
+    languages = ("russian", "english") if stemmed else ("simple",)
+    terms = {x: {t for g in parse(q.text, x) for c in g if not c.negated for t in c.terms} for x in languages}
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def best(text: str | None) -> str:
+            found = [headline(text or "", t, x) for x, t in terms.items()]
+            return max(found, key=lambda f: f.count("<<"), default="")
+
+        return texts.map(best)
+
+    return run(body)
+
+
 def filtered(chunks: DataFrame, sources: DataFrame, kind: str = "", tag: str = "") -> DataFrame:
     """Chunks of a kind of source and with a tag."""
     out = chunks.join(sources.select("source_id", "kind", F.col("title").alias("source_title"), "path"), "source_id")
@@ -258,7 +274,7 @@ def text_search(index: DataFrame, chunks: DataFrame, sources: DataFrame, q: Quer
     hits = filtered(chunks.select("chunk_id", "source_id", "tags"), sources, q.kind, q.tag).join(ranked, "chunk_id")
     boosted = boosts(sources, q, languages)
     if boosted is not None:
-        hits = hits.join(F.broadcast(boosted) if not stemmed else boosted, ["source_id", "ql"], "left").withColumn("rank", F.col("rank") + F.coalesce("boost", F.lit(0.0)))
+        hits = hits.join(boosted, ["source_id", "ql"], "left").withColumn("rank", F.col("rank") + F.coalesce("boost", F.lit(0.0)))
     return hits.select("chunk_id", "rank").orderBy(F.desc("rank"), "chunk_id").limit(q.limit)
 
 
@@ -338,11 +354,12 @@ def hybrid(index: DataFrame, vectors: DataFrame, chunks: DataFrame, sources: Dat
     text = text_search(index, chunks, sources, deep, stemmed)
     legs = [positions(text)] + ([positions(vector_chunks(vectors, chunks, sources, deep))] if q.vector else [])
     fused = (fuse(legs) if len(legs) > 1 else text).orderBy(F.desc("rank"), "chunk_id").limit(wide)
-    about = chunks.select("chunk_id", "source_id", "body").distinct().join(sources.select("source_id", "path", "title"), "source_id")
-    hits = fused.join(about, "chunk_id")
+    # only the bodies of the hits, at most as many as are fetched, are moved
+    own = chunks.select("chunk_id", "source_id", "body").join(F.broadcast(fused.select("chunk_id")), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    hits = fused.join(own, "chunk_id").join(sources.select("source_id", "path", "title"), "source_id")
     if q.rerank and scorer is not None:
         hits = rerank(hits, q.text, scorer)
-    return cap_per_source(hits, q.per_source).orderBy(F.desc("rank"), "chunk_id").limit(limit).select("chunk_id", "path", "title", "rank")
+    return cap_per_source(hits, q.per_source).orderBy(F.desc("rank"), "chunk_id").limit(limit).select("chunk_id", "path", "title", "rank", snippet(F.col("body"), q, stemmed).alias("snippet"))
 
 
 def rerank(hits: DataFrame, query: str, scorer: Callable[[str, list[str]], list[float]], top: int = RERANKED) -> DataFrame:
@@ -373,8 +390,8 @@ def compare(index: DataFrame, vectors: DataFrame, chunks: DataFrame, sources: Da
 
 def passages(chunks: DataFrame) -> DataFrame:
     """Every chunk with the bodies before and after it in its source."""
-    w = Window.partitionBy("source_id").orderBy("ord")
-    return chunks.select("chunk_id", "source_id", "ord", "body", F.lag("body").over(w).alias("previous"), F.lead("body").over(w).alias("next"))
+    beside = ranged_neighbours(chunks.select("chunk_id", "source_id", "ord", "body"), "source_id", "ord", F.col("body"), F.col("body"))
+    return beside.select("chunk_id", "source_id", "ord", "body", F.col("_before").alias("previous"), F.col("_after").alias("next"))
 
 
 def read_passage(chunks: DataFrame, chunk_id: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.runtime import ranged_neighbours
 
 MAX_ATTEMPTS = 3
 NEIGHBOUR_CHARS, BODY_CHARS = 500, 5000
@@ -55,7 +56,7 @@ def set_titles(sources: DataFrame, titles: DataFrame) -> DataFrame:
 def rehash(tables: dict[str, tuple[DataFrame, str]], moved: DataFrame) -> dict[str, DataFrame]:
     """Everything filed under an old hash goes under the new one. moved: old, new. A new hash that two old ones share is refused."""
     clean = moved.join(moved.groupBy("new").agg(F.count_distinct("old").alias("k")).where("k = 1"), "new").select("old", "new")
-    return {n: df.join(F.broadcast(clean) if n == "sources" else clean, df[c] == clean["old"], "left").withColumn(c, F.coalesce("new", c)).drop("old", "new").select(df.columns) for n, (df, c) in tables.items()}
+    return {n: df.join(clean, df[c] == clean["old"], "left").withColumn(c, F.coalesce("new", c)).drop("old", "new").select(df.columns) for n, (df, c) in tables.items()}
 
 
 def merge_newer(old: DataFrame, new: DataFrame, key: str = "key", at: str = "updated_at", unique: str = "citekey") -> DataFrame:
@@ -91,11 +92,11 @@ def embed_windows(chunks: DataFrame, sources: DataFrame) -> DataFrame:
 
     The last 500 characters before, the first 5000 of the body, the first 500 after; notes begin with title > heading.
     """
-    w = Window.partitionBy("source_id").orderBy("ord")
-    rows = chunks.join(sources.select("source_id", "kind", "title"), "source_id")
+    edges = lambda side: side(F.col("body"), F.lit(NEIGHBOUR_CHARS))  # noqa: E731 - of the neighbours only these are moved
+    beside = ranged_neighbours(chunks.select("chunk_id", "source_id", "ord", "heading", F.left("body", F.lit(BODY_CHARS)).alias("own"), "body"), "source_id", "ord", edges(F.right), edges(F.left))
+    rows = beside.drop("body").join(sources.select("source_id", "kind", "title"), "source_id")
     head = F.when(F.col("kind") == "vault", F.concat_ws(" > ", F.nullif("title", F.lit("")), F.nullif(F.coalesce("heading", F.lit("")), F.lit(""))))
-    before, after = F.nullif(F.right(F.lag("body").over(w), F.lit(NEIGHBOUR_CHARS)), F.lit("")), F.nullif(F.left(F.lead("body").over(w), F.lit(NEIGHBOUR_CHARS)), F.lit(""))
-    text = F.concat_ws(" ", head, before, F.left("body", F.lit(BODY_CHARS)), after)
+    text = F.concat_ws(" ", head, F.nullif("_before", F.lit("")), "own", F.nullif("_after", F.lit("")))
     return rows.select("chunk_id", "source_id", "ord", text.alias("window")).withColumn("hash", F.sha2("window", 256))
 
 
@@ -170,7 +171,10 @@ def citekeys(records: DataFrame) -> DataFrame:
     base = F.concat(T.slug(name), F.coalesce(F.nullif(F.col("year"), F.lit(0)).cast("string"), F.lit("")))
     based = records.withColumn("base", F.when(base == "", "ref").otherwise(base))
     taken = records.where("status = 'checked'").select(F.col("citekey").alias("base"), F.lit(1).alias("_t")).distinct()
-    drafts = based.where("status <> 'checked'").join(taken, "base", "left").withColumn("n", F.row_number().over(Window.partitionBy("base").orderBy("key")) + F.coalesce("_t", F.lit(0)))
+    # there are letters for 26 only: the first of each base are ranked, which Spark cuts before the shuffle, the rest share the last letter
+    rank = F.row_number().over(Window.partitionBy("base").orderBy("key"))
+    first = based.where("status <> 'checked'").select("base", "key").withColumn("n", rank).where("n <= 27").drop("base")
+    drafts = based.where("status <> 'checked'").join(first, "key", "left").join(taken, "base", "left").withColumn("n", F.coalesce("n", F.lit(27)) + F.coalesce("_t", F.lit(0)))
     suffix = F.when(F.col("n") == 1, "").otherwise(F.char(F.least(F.col("n") - 2, F.lit(25)) + 97))
     return drafts.select("key", F.concat("base", suffix).alias("citekey")).unionByName(based.where("status = 'checked'").select("key", "citekey"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import evaluation as E
 from quire.operators import journal as J
-from quire.runtime import table
+from quire.runtime import ranged_neighbours, table
 
 NOW = "TIMESTAMP_NTZ '2025-06-01 00:00:00'"
 
@@ -90,7 +90,8 @@ def stable_sample(spark: SparkSession, d: str) -> DataFrame:
 
 def note_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "sources").where("kind = 'vault'")
-    body = F.concat(F.lit("see [["), F.lead("title").over(Window.orderBy("source_id")), F.lit("#Intro|about "), F.lead("title").over(Window.orderBy("source_id")), F.lit("]]"))
+    s = ranged_neighbours(s.select("path", "title", "aliases", "source_id", F.lit("vault").alias("k")), "k", "source_id", F.lit(None).cast("string"), F.col("title"))
+    body = F.concat(F.lit("see [["), "_after", F.lit("#Intro|about "), "_after", F.lit("]]"))
     return E.mine_pairs(s.select("path", F.col("title").alias("name"), "aliases", body.alias("body")))
 
 

@@ -82,6 +82,12 @@ def vector_tagged(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_chunks(table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q)
 
 
+def vector_tag(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of the chunks under one tag or a tag below it, exactly."""
+    q = S.Query("", tag="nlp", limit=20, vector=VECTOR)
+    return S.vector_chunks(table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q)
+
+
 def _legs(spark: SparkSession, d: str) -> list[DataFrame]:
     docs = table(spark, d, "documents")
     one = docs.select(F.col("doc_id").alias("chunk_id"), F.col("n_chars").cast("double").alias("rank")).orderBy(F.desc("rank"), "chunk_id").limit(40)
@@ -101,7 +107,7 @@ def per_source_cap(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     q = S.Query("adaptive catalogues", limit=20, per_source=2, vector=VECTOR)
     hits = S.hybrid(_index(spark, d, q, True), table(spark, d, "chunk_vectors"), _chunks(spark, d), table(spark, d, "sources"), q, stemmed=True)
-    return hits.select("chunk_id", "path", F.round("rank", 9).alias("rank"))
+    return hits.select("chunk_id", "path", F.round("rank", 9).alias("rank"), "snippet")
 
 
 def compare_legs(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +133,7 @@ def bodies_by_id(spark: SparkSession, d: str) -> DataFrame:
     return S.bodies(table(spark, d, "chunks"), [1, 5, 100, 190], 240)
 
 
-QUERIES = {f.__name__: f for f in (term_df, text_and, text_phrase, text_not, text_or, text_topk, text_kind_tag, tag_counts, vector_topk, vector_topk_embeddings, vector_tagged, rrf_fuse, per_source_cap, hybrid_search, compare_legs, passages, read_passage, bodies_by_id)}
+QUERIES = {f.__name__: f for f in (term_df, text_and, text_phrase, text_not, text_or, text_topk, text_kind_tag, tag_counts, vector_topk, vector_topk_embeddings, vector_tagged, vector_tag, rrf_fuse, per_source_cap, hybrid_search, compare_legs, passages, read_passage, bodies_by_id)}
 
 _TOK = r"""WITH d AS (SELECT DISTINCT chunk_id, body FROM chunks), t AS (SELECT chunk_id, regexp_extract_all(lower(body), '[\p{L}\p{Nd}]+') AS ws FROM d)"""
 _VEC = "[" + ", ".join(f"{x!r}::DOUBLE" for x in VECTOR) + "]"
@@ -148,6 +154,8 @@ u AS (SELECT DISTINCT chunk_id, array_to_string(p[1:n], '/') AS tag FROM (SELECT
     "vector_topk_embeddings": f"SELECT vec_id, {_COS} AS rank FROM embeddings WHERE {_USABLE} ORDER BY rank DESC, vec_id LIMIT 20",
     "vector_tagged": f"""SELECT c.chunk_id, {_COS} AS rank FROM (SELECT DISTINCT chunk_id, source_id, embed_hash FROM chunks) c JOIN sources s USING (source_id) JOIN chunk_vectors v ON v.hash = c.embed_hash
 WHERE s.kind = 'docs' AND {_USABLE} ORDER BY rank DESC, chunk_id LIMIT 20""",
+    "vector_tag": f"""SELECT c.chunk_id, {_COS} AS rank FROM (SELECT DISTINCT chunk_id, tags, embed_hash FROM chunks) c JOIN chunk_vectors v ON v.hash = c.embed_hash
+WHERE len(list_filter(c.tags, lambda t: lower(t) = 'nlp' OR starts_with(lower(t), 'nlp/'))) > 0 AND {_USABLE} ORDER BY rank DESC, chunk_id LIMIT 20""",
     "rrf_fuse": """WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS i FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY strlen(text) DESC, doc_id) AS i FROM documents)
 SELECT doc_id AS chunk_id, round(sum(1.0::DOUBLE / (60 + i)), 9) AS rank FROM (FROM a WHERE i <= 40 UNION ALL FROM b WHERE i <= 40) GROUP BY doc_id""",
     "per_source_cap": "SELECT doc_id AS chunk_id, source AS path, n_chars AS rank FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 3",

@@ -90,6 +90,39 @@ def salted_row_number(df: DataFrame, keys: list[str], order: list[str], out: str
     return joined.withColumn(out, (F.col("_n") + F.col("_below")).cast("long")).drop("_n", "_below", "_salt")
 
 
+#: Values of an order that go into one range, so that no task holds all rows of a hot key.
+ORDER_RANGE = 1000
+
+
+def _ranged(df: DataFrame, order: str) -> DataFrame:
+    return df.withColumn("_range", F.floor(F.col(order) / ORDER_RANGE).cast("long"))
+
+
+def ranged_row_number(df: DataFrame, key: str, order: str, out: str) -> DataFrame:
+    """Number the rows of each key from 1 in order, range by range of the order; ties in order get numbers in any order."""
+    rows = _ranged(df, order)
+    below = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(key, "_range").count().select(key, "_range", F.coalesce(F.sum("count").over(below), F.lit(0)).alias("_below"))
+    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)))
+    return numbered.join(offsets.hint("merge"), [key, "_range"]).withColumn(out, (F.col("_n") + F.col("_below")).cast("int")).drop("_n", "_below", "_range")
+
+
+def ranged_neighbours(df: DataFrame, key: str, order: str, before: Column, after: Column) -> DataFrame:
+    """Adds ``_before`` and ``_after``: ``before`` of the row ahead of each in its key, and ``after`` of the one behind it.
+
+    Windows run within ranges of the order; the rows at the ends of ranges meet in a small table. Keys must not be null.
+    """
+    rows = _ranged(df, order).withColumn("_b", before).withColumn("_a", after)
+    ends = rows.groupBy(key, "_range").agg(F.max_by(F.struct("_b"), order).alias("last"), F.min_by(F.struct("_a"), order).alias("first"))
+    across = Window.partitionBy(key).orderBy("_range")
+    ends = ends.select(key, "_range", F.lag("last").over(across).alias("_last"), F.lead("first").over(across).alias("_first"))
+    w = Window.partitionBy(key, "_range").orderBy(order)
+    inside = rows.withColumn("_p", F.lag(F.struct("_b")).over(w)).withColumn("_q", F.lead(F.struct("_a")).over(w))
+    joined = inside.join(ends.hint("merge"), [key, "_range"])
+    got = joined.withColumn("_before", F.coalesce("_p", "_last")["_b"]).withColumn("_after", F.coalesce("_q", "_first")["_a"])
+    return got.drop("_range", "_b", "_a", "_p", "_q", "_last", "_first")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer partitions than there are cores (a small file) in as many as cores; any larger one as it is.
 

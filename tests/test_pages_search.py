@@ -125,3 +125,30 @@ def test_passage(spark, library):
     chunks, *_ = library
     r = S.read_passage(chunks, 2).first()
     assert r.previous.startswith("Разделы") and r.next is None
+
+
+def test_ranges_equal_plain_windows(spark):
+    """A hot key over several ranges, gaps in the order, null values, an empty table."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quire.runtime import ranged_neighbours, ranged_row_number
+
+    rows = [(k, i * 7 if i < 400 else i * 900, None if i % 5 == 0 else f"{k}{i}", "x") for k in ("hot", "cold") for i in range(600 if k == "hot" else 3)]
+    df = spark.createDataFrame(rows, "k string, o long, v string, _clash string")
+    w = Window.partitionBy("k").orderBy("o")
+    want = {(r.k, r.o): (r.p, r.q, r.n) for r in df.select("k", "o", F.lag("v").over(w).alias("p"), F.lead("v").over(w).alias("q"), F.row_number().over(w).alias("n")).collect()}
+    near = {(r.k, r.o): (r._before, r._after) for r in ranged_neighbours(df, "k", "o", F.col("v"), F.col("v")).collect()}
+    numbered = {(r.k, r.o): r.n for r in ranged_row_number(df, "k", "o", "n").collect()}
+    assert near == {k: x[:2] for k, x in want.items()} and numbered == {k: x[2] for k, x in want.items()}
+    assert ranged_neighbours(df.where("false"), "k", "o", F.col("v"), F.col("v")).count() == 0
+
+
+def test_snippets_come_with_hits(spark):
+    from pyspark.sql import functions as F
+
+    from quire.operators import search as S
+
+    df = spark.createDataFrame([(1, "One ordered ledger among many words."), (2, None), (3, "")], "i long, body string")
+    got = {r.i: r.s for r in df.select("i", S.snippet(F.col("body"), S.Query("ordered ledger -gone")).alias("s")).collect()}
+    assert got[1] == "One <<ordered>> <<ledger>> among many words" and not got[2] and not got[3]
