@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import boilerplate, lookalikes, matching, mixing, neighbours, packing, ppm, scans, splitting, tokens
@@ -115,6 +115,19 @@ def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(_items(spark, d)).withColumnRenamed("item_id", "chunk_id")
 
 
+def p7_cover(spark: SparkSession, d: str) -> DataFrame:
+    """Of every text: how far its pieces reach without a gap, whether all are within the limit and whether overlaps are as given."""
+    pieces = splitting.split_items(_items(spark, d))
+    limits = _items(spark, d).select("item_id", "above", "overlap").distinct()
+    before = Window.partitionBy("item_id").orderBy("piece")
+    step = pieces.withColumn("_stop", F.lag("stop").over(before)).join(limits, "item_id")
+    over = F.when(F.col("overlap") >= F.col("above"), F.floor(F.col("above") / 2)).otherwise(F.col("overlap"))
+    fits = (F.col("above") <= 0) | (F.length("text") <= F.col("above"))
+    joined = F.col("_stop").isNull() | (F.col("start") == F.greatest(F.lit(0), F.col("_stop") - over))
+    whole = F.length("text") == F.col("stop") - F.col("start")
+    return step.groupBy(F.col("item_id").alias("chunk_id")).agg(F.max("stop").cast("long").alias("n_chars"), F.bool_and(fits).alias("fits"), F.bool_and(joined).alias("overlaps"), F.bool_and(whole).alias("whole"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.alike_pairs(materialise(lookalikes.looks(spread(table(spark, d, "documents"))), "looks"))
 
@@ -137,6 +150,17 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, [packing.fill(x, c).select(F.lit(n).alias("limit_name"), F.lit(c).alias("capacity_tokens"), "*") for n, c, x in _packed(spark, d)])
 
 
+def p8_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every limit: documents placed, and how many containers are too full or documents of one container in two."""
+    out = []
+    for name, capacity, x in _packed(spark, d):
+        full = x.groupBy("container").agg(F.sum("length").alias("n")).agg(F.count_if(F.col("n") > capacity).alias("overfull"))
+        cut = x.groupBy("doc_id").agg(F.sum("length").alias("n"), F.count(F.lit(1)).alias("parts")).agg(F.count(F.lit(1)).alias("documents"), F.count_if((F.col("n") <= capacity) & (F.col("parts") > 1)).alias("torn"))
+        one = lambda df: df.withColumn("limit_name", F.lit(name))  # noqa: B023, E731
+        out.append(one(cut).join(one(full), "limit_name").select("limit_name", "documents", "overfull", "torn"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     docs = spread(table(spark, d, "documents")).withColumn("text_key", F.concat_ws(":", F.xxhash64("text"), F.hash("text"), F.length("text")))
     sizes = materialise(tokens.token_counts(docs, extra=("source", "text_key")), "tokens")
@@ -151,7 +175,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_clean, p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p8_pack, p8_fill, p9_mix, p9_shares, p10_found, p10_canonical)}
+def p9_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Of every source of a mix: whether it has documents in the mix, and whether none is used too often."""
+    return p9_shares(spark, d).select("mix_name", "source", (F.col("documents") > 0).alias("used"), (F.col("most_copies") <= F.col("max_repeats")).alias("within"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_matches, p2_found, p2_clean, p3_found, p3_segments, p5_found, p5_bodies, p6_found, p6_neighbours, p6_search, p7_found, p7_pieces, p7_cover, p8_pack, p8_fill, p8_whole, p9_mix, p9_shares, p9_limits, p10_found, p10_canonical)}
 
 _P5 = r"""
 WITH docs AS (SELECT DISTINCT c.chunk_id, split_part(s.path, '/', 1) AS site, c.body
@@ -169,6 +198,14 @@ ORACLE = {
     + """, hit AS (SELECT DISTINCT chunk_id, line_no FROM keyed JOIN often USING (site, k))
 SELECT k.chunk_id, coalesce(string_agg(k.line, chr(10) ORDER BY k.line_no) FILTER (WHERE h.line_no IS NULL), '') AS body
 FROM keyed k LEFT JOIN hit h USING (chunk_id, line_no) WHERE k.chunk_id IN (SELECT chunk_id FROM hit) GROUP BY k.chunk_id""",
+    "p6_found": """WITH v AS (SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS s FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+k AS (SELECT a, b, s FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(s, 12) DESC, b) <= 10)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM k WHERE s >= 0.9""",
+    "p7_cover": r"""SELECT chunk_id, n AS n_chars, true AS fits, true AS overlaps, true AS whole FROM (SELECT DISTINCT c.chunk_id, length(regexp_replace(c.body, '^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) AS n
+FROM chunks c JOIN sources s USING (source_id) JOIN split_limits l ON l.kind = s.kind) WHERE n > 0""",
+    "p8_whole": "SELECT limit_name, (SELECT count(DISTINCT doc_id) FROM documents WHERE text <> '') AS documents, 0 AS overfull, 0 AS torn FROM pack_limits",
+    "p9_limits": """SELECT DISTINCT mix_name, source, source IN (SELECT source FROM documents WHERE text <> '') AS used, true AS within FROM mix_targets""",
     "p7_found": r"""SELECT DISTINCT c.chunk_id FROM chunks c JOIN sources s USING (source_id) JOIN split_limits l ON l.kind = s.kind
 WHERE l.above > 0 AND length(regexp_replace(c.body, '^[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')) > l.above""",
 }
