@@ -43,6 +43,19 @@ def test_lists():
     assert R.lists(["As references to earlier work show\nnothing"]) == [] and R.lists([]) == []
 
 
+@pytest.mark.parametrize("after", ["\nA Proofs of the theorems\nWe prove it.", "\nSUPPLEMENTARY MATERIAL\nmore text", "\nAnn B. Lee is a professor of things.", "Index\nword 3"])
+def test_lists_end(after):
+    labelled = "References\n[1] A. Lee. First work. 2001.\n[2] B. Roe. Second work. 2002.\n" + after
+    assert R.lists([labelled]) == [("references", ["[1] A. Lee. First work. 2001.", "[2] B. Roe. Second work. 2002."])]
+    hanging = "References\nLee, A. First work about\n   things. 2001.\nRoe, B. Second work.\n   Place, 2002.\n" + after
+    assert [len(e) for _, e in R.lists([hanging])] == [2]
+
+
+def test_lists_go_on_over_headings_within():
+    pages = ["References\n[1] A. Lee. First work. 2001.\n[2] B. Roe. Second work. 2002.", "RUNNING HEAD OF ONE PAGE\n[3] C. Poe. Third. 2003."]
+    assert len(R.lists(pages)[0][1]) == 3
+
+
 def test_notes():
     text = "---\ntags: [a, '#b']\naliases:\n  - Other name\n---\nlead\n# One\ntext\n### Deep\nmore\n```\n# no heading\n```\n"
     sections, aliases = markup.note_sections(text)
