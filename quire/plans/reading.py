@@ -23,13 +23,23 @@ def entry_labels(spark: SparkSession, d: str) -> DataFrame:
     return parsed_entries(spark, d).select("id", "label", "doi")
 
 
-def reference_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Lists cut out of papers whose last page prints their entries under a heading."""
+def _printed(spark: SparkSession, d: str) -> DataFrame:
+    """(paper, pages): papers whose last page prints their entries under a heading, and an appendix after it."""
     c = table(spark, d, "citations").dropDuplicates(["citation_id"]).where("list = 'references'")
     w = Window.partitionBy("paper").orderBy("ord", "citation_id")
     lines = c.select("paper", F.concat(F.lit("["), F.row_number().over(w), F.lit("] "), F.regexp_replace("raw", r"^(\[[A-Z]{0,3}\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)?\s*", "")).alias("line"), F.row_number().over(w).alias("n"))
     text = lines.groupBy("paper").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "line"))), lambda x: F.regexp_replace(x.line, r"\s+", " ")), "\n").alias("t"))
-    return R.read_lists(text.select("paper", F.array(F.lit("A page of text.\n"), F.concat(F.lit("More.\nReferences\n"), F.col("t"), F.lit("\nAppendix A\nnotes"))).alias("pages"))).select("paper", "list", "ord", F.md5("raw").alias("raw"))
+    return text.select("paper", F.array(F.lit("A page of text.\n"), F.concat(F.lit("More.\nReferences\n"), F.col("t"), F.lit("\nAppendix A\nnotes"))).alias("pages"))
+
+
+def reference_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists cut out of papers."""
+    return R.read_lists(_printed(spark, d)).select("paper", "list", "ord", F.md5("raw").alias("raw"))
+
+
+def paper_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of papers without their lists: only text before and after them is left."""
+    return R.paper_pages(_printed(spark, d)).select("paper", "page", F.regexp_replace("body", r"\n+", " ").alias("body"))
 
 
 def record_drafts(spark: SparkSession, d: str) -> DataFrame:
@@ -67,11 +77,14 @@ def note_parts(spark: SparkSession, d: str) -> DataFrame:
     return rows.mapInPandas(run, "chunk_id long, part int, n_chars int")
 
 
-QUERIES = {f.__name__: f for f in (parsed_entries, entry_labels, reference_lists, record_drafts, biblatex, csl_records, note_parts)}
+QUERIES = {f.__name__: f for f in (parsed_entries, entry_labels, reference_lists, paper_pages, record_drafts, biblatex, csl_records, note_parts)}
 
 ORACLE = {
     "entry_labels": r"""SELECT DISTINCT citation_id AS id, nullif(regexp_extract(raw, '^\s*(\[[A-Z]{0,3}\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)\s+\S', 1), '') AS label,
  CASE WHEN d <> '' AND strlen(regexp_replace(d, '^[^/]*/', '')) >= 4 THEN d END AS doi FROM (SELECT *, regexp_replace(regexp_extract(raw, '\b10\.\d{4,9}/[^\s"<>]+'), '[.,;)\]]+$', '') AS d FROM citations)""",
+    "paper_pages": r"""WITH c AS (SELECT DISTINCT ON (citation_id) paper, citation_id, regexp_replace(regexp_replace(raw, '^(\[[A-Z]{0,3}\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)?\s*', ''), '\s+', ' ', 'g') AS raw FROM citations WHERE list = 'references'),
+p AS (SELECT paper, count(*) > 1 OR sum(strlen(trim(raw))) + 4 >= 100 AS is_list, min(raw) AS one FROM c GROUP BY paper)
+SELECT paper, 1::INTEGER AS page, 'A page of text. ' AS body FROM p UNION ALL SELECT paper, 2::INTEGER, CASE WHEN is_list THEN 'More. Appendix A notes' ELSE 'More. References [1] ' || one || ' Appendix A notes' END FROM p""",
     "csl_records": """SELECT 's' || source_id AS citekey, '{"id":"s' || source_id || '","type":"book","issued":{"date-parts":[[' || year(indexed_at) || ',' || month(indexed_at) || ']]}}' AS csl, year(indexed_at)::INTEGER AS year FROM sources WHERE kind IN ('book', 'paper')""",
     "reference_lists": r"""WITH c AS (SELECT DISTINCT ON (citation_id) paper, ord, citation_id, regexp_replace(regexp_replace(raw, '^(\[[A-Z]{0,3}\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)?\s*', ''), '\s+', ' ', 'g') AS raw FROM citations WHERE list = 'references')
 SELECT paper, 'references' AS list, n::INTEGER AS ord, md5(trim(regexp_replace('[' || n || '] ' || raw, '\s+\d{1,4}(,\s*\d{1,4})+\s*$', ''))) AS raw FROM (SELECT *, row_number() OVER (PARTITION BY paper ORDER BY ord, citation_id) AS n FROM c) WHERE paper IN (SELECT paper FROM c GROUP BY paper HAVING count(*) > 1 OR sum(strlen(trim(raw))) + 4 >= 100)""",

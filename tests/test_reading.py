@@ -51,6 +51,12 @@ def test_lists_end(after):
     assert [len(e) for _, e in R.lists([hanging])] == [2]
 
 
+def test_pages_without_lists():
+    pages = ["Text of it.\nSee references there.", "More.\nReferences\n[1] A. Lee. First work. 2001.\n[2] B. Roe. Second", "work. 2002.\nAppendix A\nproofs"]
+    assert R.without_lists(pages) == [pages[0], "More.\n\n\n", "\nAppendix A\nproofs"]
+    assert R.without_lists([]) == [] and R.without_lists(["", "References"]) == ["", "References"]
+
+
 def test_lists_go_on_over_headings_within():
     pages = ["References\n[1] A. Lee. First work. 2001.\n[2] B. Roe. Second work. 2002.", "RUNNING HEAD OF ONE PAGE\n[3] C. Poe. Third. 2003."]
     assert len(R.lists(pages)[0][1]) == 3
