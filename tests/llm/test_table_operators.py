@@ -116,6 +116,24 @@ def test_two_typos_leave_a_key(spark, monkeypatch):
     assert (2, 12) in pairs()
 
 
+def test_no_pair_of_a_frequent_key_is_left_out(spark, works, monkeypatch):
+    schema = "id long, title string, persons string, issued string"
+    files = spark.createDataFrame([(i, f"Amber ledgers remote{x}", None, None) for i, x in enumerate(["", " harbours", " valleys", ": orchards"])], schema)
+    cited = spark.createDataFrame([(10 + i, f"Amber ledgers remote{x}", None, None) for i, x in enumerate([" towns", "", " bridges of glass"])], schema)
+    every = {("across", a, b) for a in range(4) for b in range(10, 13)} | {("within", a, b) for b in range(4) for a in range(b)}
+
+    def pairs(files, cited):
+        got = [tuple(r) for r in M.candidates(M.records(files, spread=1)[0], M.records(cited)[0]).collect()]
+        assert len(got) == len(set(got))
+        return set(got)
+
+    usual = pairs(*works[:2])
+    for bound in (1000, 4, 0):
+        monkeypatch.setattr(M, "KEY_PAIRS", bound)  # however few may share a key before it is split
+        assert pairs(files, cited) == every
+    assert pairs(*works[:2]) == usual
+
+
 def test_title_left_in_a_printed_entry(spark):
     rows = [
         ("[8] Paula Kornaisted, Milo Drenusted. LAYERED FRAGMENTS IN STATIONS. Journal of Quiet Computing, 2018. doi:10.70577/e98606", "Paula Kornaisted, Milo Drenusted", "Journal of Quiet Computing"),
@@ -281,6 +299,35 @@ def test_blocking_keys_meet_what_brute_force_finds(works):
     assert len(alike) > 5 and len(alike & pairs) / len(alike) > 0.98
 
 
+def test_similarities_all_at_once():
+    rnd = random.Random(5)
+    words = "amber ledgers of remote harbours and 2 broken vallei orchards x".split()
+    text = lambda n: " ".join(rnd.choice(words) for _ in range(rnd.randrange(n)))
+    rows = [(text(6) or "a", text(6) or "b", text(4), text(4), rnd.random() < 0.3) for _ in range(600)]
+    rows += [(a, a[: rnd.randrange(1, len(a) + 1)].strip() or "c", sa, "", cut) for a, _, sa, _, cut in rows]
+    ma, mb, sa, sb, cut = (list(x) for x in zip(*rows, strict=True))
+    assert M.dice_all(ma, mb).tolist() == [M.dice(x, y) for x, y in zip(ma, mb, strict=True)]
+    got = M.title_similarities((ma, mb), (sa, sb), np.array(cut)).tolist()
+    assert got == [M.title_similarity((a, c), (b, d), e) for a, b, c, d, e in rows]
+    assert len(M.dice_all([], [])) == 0
+    assert M.subtitle_similarity(["amber ledgers", "abc", "amber"], ["amber", "abc", "harbour"]) == [1.0, None, None]
+
+
+def test_many_unlike_pairs_leave_the_matches(spark):
+    """A blocking that brings in ever more pairs of other works must not make a second group of them."""
+    rnd = np.random.default_rng(4)
+
+    def group(n, title, persons, year):
+        some = lambda values, share: np.where(rnd.random(n) < share, values, np.nan)
+        return np.stack([np.clip(rnd.normal(title, 0.1, n), 0, 1), np.full(n, np.nan), some(persons, 0.7), some(year, 0.6), np.ones(n)], axis=1)
+
+    x = np.concatenate([group(1000, 0.97, 1.0, 1.0), group(40_000, 0.4, 0.0, 0.0), group(9000, 0.42, 0.0, 1.0), group(9000, 0.42, 0.6, 0.4)])
+    for times in (1, 3, 10):
+        model = M.fit(x, np.where(np.arange(len(x)) < 1000, 1.0, times))
+        g = model.gamma(x)
+        assert (g[:1000] > 0.5).mean() > 0.9 and (g[1000:] > 0.5).mean() < 0.01
+
+
 def test_bins_are_bounded(spark):
     rnd = random.Random(1)
     rows = [tuple(rnd.choice([None, rnd.random()]) for _ in range(3)) + (rnd.choice([None, 1.0, 0.7]), rnd.choice([None, 0.0, 1.0])) for _ in range(2000)]
