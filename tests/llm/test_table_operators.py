@@ -274,6 +274,14 @@ def test_matches(works):
     assert len(got & truth) / len(truth) > 0.97 and len(got & truth) / len(got) > 0.97
 
 
+def test_rounds_write_no_table_of_all_pairs(works, monkeypatch):
+    """Only the links of files are written in a round; pairs of other files are neither written again nor shuffled."""
+    names, keep = [], M.materialise
+    monkeypatch.setattr(M, "materialise", lambda df, name="step": (names.append(name), keep(df, name))[1])
+    M.match(*works[:2])
+    assert names.count("pairs") == 1 and "scored" not in names
+
+
 def test_no_rows_to_match(works):
     files, entries, _ = works
     assert M.match(files.where("false"), entries).count() == 0
