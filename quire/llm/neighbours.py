@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import materialise, maybe_broadcast
+from quire.runtime import discard, materialise, maybe_broadcast
 
 K = 10
 #: Entries a point keeps; a round walks all of them and as many reverse ones.
@@ -283,10 +283,14 @@ def graph(pts: DataFrame, settled: float = SETTLED, block: int = BLOCK) -> DataF
 
     Rounds end when one brings in less than ``settled`` of the entries; lists only get better, so one does.
     """
-    home, near = start(pts, block)
-    home, near = materialise(home, "home"), materialise(near, "near")
+    laid, near = start(pts, block)
+    home, near = materialise(laid, "home"), materialise(near, "near")
+    discard(laid)
     while True:
-        near = materialise(descend(pts, home, near), "near")
+        last, step = near, descend(pts, home, near)
+        near = materialise(step, "near")
+        discard(step)  # the lists and steps of the round
+        discard(last)
         if changed(near) < settled:
             break
     return near

@@ -1,11 +1,14 @@
 """Problems 1, 6, 8 and 9 on small and odd inputs."""
 
 import random
+import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quire import runtime as R
 from quire.llm import matching as M
 from quire.llm import mixing as X
 from quire.llm import neighbours as N
@@ -93,6 +96,26 @@ def test_copies_and_unusable_vectors(spark):
     assert len(got) == 32
 
 
+def test_rounds_leave_only_the_graph(spark):
+    """Of what the rounds write and shuffle only the lists of the last and the blocks are left."""
+    rnd = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, rnd.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
+    pts = N.points(df).cache()
+    work = Path(re.sub("^file:/+", "/", R._work(spark)))
+    tables = lambda: {x.name for x in work.iterdir()} if work.exists() else set()
+    shuffled = lambda: {f.name for f in Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*.data")}
+    pts.count()
+    before, files = tables(), shuffled()
+    near = N.graph(pts, block=60)
+    assert sorted(x.partition("-")[0] for x in tables() - before) == ["home", "near"]
+    assert near.count() == 300
+    out = R.materialise(spark.range(100).repartition(3, "id"))
+    assert out.count() == 100 and spark.conf.get(R.SHUFFLE_CLEANUP, None) is None
+    kept = shuffled() - files
+    R.materialise(spark.range(100).repartition(5, "id"))
+    assert shuffled() - files <= kept  # what is shuffled for a table goes with it
+
+
 def test_few_vectors(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     pts = N.points(df)
