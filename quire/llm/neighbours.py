@@ -34,6 +34,9 @@ TREES = 4
 #: Rounds end when one brings in a smaller share of entries than this.
 SETTLED = 0.03
 BLOCK = 1200
+#: A round goes through the blocks in up to so many parts, one for as many points, and deletes what one shuffled before the next.
+PARTS = 8
+PART_POINTS = 12_000
 FIT_ROWS = 20_000
 #: Entry points drawn from all points, and from every block of every tree.
 ENTRIES = 256
@@ -236,11 +239,11 @@ def best_reverse(edges: DataFrame, parts: int = 32) -> DataFrame:
     return kept.groupBy("to").agg(best(F.collect_list("e")).alias("r")).withColumnRenamed("to", "id")
 
 
-def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
+def descend(pts: DataFrame, home: DataFrame, near: DataFrame, parts: int = PARTS) -> DataFrame:
     """One round: neighbours of neighbours, brought to the block of every point.
 
     As in the method, only pairs with an entry that is new since the last round are looked at: from a new neighbour all
-    it leads to, from an old one what is new there.
+    it leads to, from an old one what is new there. All points serve every part of the blocks.
     """
     top = near.select("id", "near", F.col("near").alias("n"))
     pick = lambda c, flag: F.transform(F.filter(c, lambda x: x.new if flag else ~x.new), lambda x: x.id)
@@ -254,8 +257,20 @@ def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
         F.array_union(pick("n", True), F.coalesce(pick("r", True), none)).alias("fresh"), F.array_union(pick("n", False), F.coalesce(pick("r", False), none)).alias("old"),
     )
     lists = materialise(lists, "lists")
-    by_new = lists.select("block", F.explode("fresh").alias("id"), F.lit(True).alias("all"))
-    by_old = lists.select("block", F.explode("old").alias("id"), F.lit(False).alias("all"))
+    found = []
+    for part in range(parts):
+        step = _part(lists, lists.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == part))
+        found.append(materialise(step, "found"))
+        discard(step.select("id"), "steps")
+    discard(lists)
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _part(lists: DataFrame, own: DataFrame) -> DataFrame:
+    """(id, near) after a round of the points ``own``, rows of ``lists``."""
+    none = F.array().cast("array<long>")
+    by_new = own.select("block", F.explode("fresh").alias("id"), F.lit(True).alias("all"))
+    by_old = own.select("block", F.explode("old").alias("id"), F.lit(False).alias("all"))
     stops = by_new.unionByName(by_old).groupBy("block", "id").agg(F.bool_or("all").alias("all"))
     steps = stops.join(lists.select("id", "fwd", "fwd_new"), "id").where(F.col("all") | (F.size("fwd_new") > 0))
     steps = materialise(steps.select("block", "id", F.when(F.col("all"), F.col("fwd")).otherwise(none).alias("fwd"), F.col("fwd_new").alias("fresh")), "steps")
@@ -264,7 +279,7 @@ def descend(pts: DataFrame, home: DataFrame, near: DataFrame) -> DataFrame:
     # empty lists, not nulls: the Arrow writer goes over a run of null lists again for every row of it
     no_ids, no_near, no_v = none, F.array().cast(_NEAR), F.lit(None).cast("binary")
     everything = (
-        lists.select("block", "id", F.lit(0).alias("kind"), "v", "near", "fwd", "fresh", "old")
+        own.select("block", "id", F.lit(0).alias("kind"), "v", "near", "fwd", "fresh", "old")
         .unionByName(steps.select("block", "id", F.lit(1).alias("kind"), no_v.alias("v"), no_near.alias("near"), "fwd", "fresh", no_ids.alias("old")))
         .unionByName(met.select("block", "id", F.lit(2).alias("kind"), "v", no_near.alias("near"), no_ids.alias("fwd"), no_ids.alias("fresh"), no_ids.alias("old")))
     )
@@ -286,10 +301,9 @@ def graph(pts: DataFrame, settled: float = SETTLED, block: int = BLOCK) -> DataF
     laid, near = start(pts, block)
     home, near = materialise(laid, "home"), materialise(near, "near")
     discard(laid)
+    parts = min(PARTS, 1 + home.count() // PART_POINTS)
     while True:
-        last, step = near, descend(pts, home, near)
-        near = materialise(step, "near")
-        discard(step)  # the lists and steps of the round
+        last, near = near, descend(pts, home, near, parts)
         discard(last)
         if changed(near) < settled:
             break

@@ -96,7 +96,7 @@ def test_copies_and_unusable_vectors(spark):
     assert len(got) == 32
 
 
-def test_rounds_leave_only_the_graph(spark):
+def test_rounds_leave_only_the_graph(spark, monkeypatch):
     """Of what the rounds write and shuffle only the lists of the last and the blocks are left."""
     rnd = np.random.default_rng(2)
     df = spark.createDataFrame([(i, rnd.normal(size=8).tolist()) for i in range(300)], "vec_id long, embedding array<double>")
@@ -106,9 +106,13 @@ def test_rounds_leave_only_the_graph(spark):
     shuffled = lambda: {f.name for f in Path(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()).rglob("shuffle_*.data")}
     pts.count()
     before, files = tables(), shuffled()
+    monkeypatch.setattr(N, "PART_POINTS", 30)
     near = N.graph(pts, block=60)
-    assert sorted(x.partition("-")[0] for x in tables() - before) == ["home", "near"]
+    assert {x.partition("-")[0] for x in tables() - before} == {"home", "found"} and len(tables() - before) == 1 + N.PARTS
     assert near.count() == 300
+    home, first = (R.materialise(x) for x in N.start(pts, 60))
+    rounds = [{r.id: [(x.id, x.new) for x in r.near] for r in N.descend(pts, home, first, parts).collect()} for parts in (1, 3)]
+    assert rounds[0] == rounds[1]  # parts only order the work
     out = R.materialise(spark.range(100).repartition(3, "id"))
     assert out.count() == 100 and spark.conf.get(R.SHUFFLE_CLEANUP, None) is None
     kept = shuffled() - files
