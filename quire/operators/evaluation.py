@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections import Counter
+from collections.abc import Mapping
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLIPS = 100_000
+#: Numbers that are drawn at once.
+DRAWN = 1_000_000
 
 
 def relevant(hit_path: Column, hit_page: Column, hit_section: Column, judged: Column) -> Column:
@@ -43,26 +47,46 @@ def sign_test(wins: int, losses: int) -> float:
 
 
 def randomization_test(differences: list[float], flips: int = FLIPS, seed: int = 1) -> float:
-    """Chance of a mean at least as large when signs are drawn anew; all signs are tried for up to 16 differences."""
-    d = np.array([x for x in differences if x != 0.0])
-    if not len(d):
+    """``counted_randomization_test`` of a list."""
+    return counted_randomization_test(Counter(differences), flips, seed)
+
+
+def counted_randomization_test(differences: Mapping[float, int], flips: int = FLIPS, seed: int = 1) -> float:
+    """Chance of a mean at least as large when signs are drawn anew; all signs are tried for up to 16 differences.
+
+    differences: how often each occurs. Of n differences of one size as many get a plus as a binomial draw says, so
+    memory does not grow with n.
+    """
+    sizes: Counter[float] = Counter()
+    for x, n in differences.items():
+        sizes[abs(x)] += n
+    del sizes[0.0]
+    if not sizes:
         return 1.0
-    seen = abs(d.sum()) - 1e-12
-    if len(d) <= 16:
+    total = math.fsum(x * n for x, n in sizes.items())
+    seen = abs(math.fsum(x * n for x, n in differences.items())) - 1e-12 * max(1.0, total)
+    if sizes.total() <= 16:
+        d = sorted(sizes.elements())
         return sum(abs(sum(s * x for s, x in zip(signs, d, strict=True))) >= seen for signs in itertools.product((1, -1), repeat=len(d))) / 2 ** len(d)
-    rng, beyond = np.random.default_rng(seed), 0
-    for at in range(0, flips, 1000):
-        signs = rng.integers(0, 2, size=(min(1000, flips - at), len(d))) * 2 - 1
-        beyond += int((np.abs(signs @ d) >= seen).sum())
+    x, n = np.array(sorted(sizes)), np.array([sizes[x] for x in sorted(sizes)])
+    rng, beyond, together = np.random.default_rng(seed), 0, max(1, DRAWN // len(x))
+    for at in range(0, flips, together):
+        plus = np.zeros(rows := min(together, flips - at))
+        for part in range(0, len(x), DRAWN):
+            plus += rng.binomial(n[part : part + DRAWN], 0.5, size=(rows, len(x[part : part + DRAWN]))) @ x[part : part + DRAWN]
+        beyond += int((np.abs(2 * plus - total) >= seen).sum())
     return (beyond + 1) / (flips + 1)
 
 
 def compare(a: DataFrame, b: DataFrame) -> dict:
     """Runs (query_id, rr): wins, losses, ties and mean difference of b over a on the queries both have, with two p values."""
-    rows = a.select("query_id", F.col("rr").alias("x")).join(b.select("query_id", F.col("rr").alias("y")), "query_id").select((F.col("y") - F.col("x")).alias("d")).collect()  # one number a judged query
-    d = [r.d for r in rows]
-    wins, losses = sum(x > 0 for x in d), sum(x < 0 for x in d)
-    return {"wins": wins, "losses": losses, "ties": len(d) - wins - losses, "delta": sum(d) / len(d) if d else 0.0, "p_sign": sign_test(wins, losses), "p_random": randomization_test(sorted(d))}
+    both = a.select("query_id", F.col("rr").alias("x")).join(b.select("query_id", F.col("rr").alias("y")), "query_id")
+    rows = both.groupBy((F.col("y") - F.col("x")).alias("d")).count().collect()  # one row a distinct difference, few as ranks are
+    d = {r.d: r["count"] for r in rows}
+    of = lambda sign: sum(n for x, n in d.items() if x * sign > 0)
+    every, wins, losses = sum(d.values()), of(1), of(-1)
+    delta = math.fsum(x * n for x, n in d.items()) / every if every else 0.0
+    return {"wins": wins, "losses": losses, "ties": every - wins - losses, "delta": delta, "p_sign": sign_test(wins, losses), "p_random": counted_randomization_test(d)}
 
 
 def outcomes(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -1,11 +1,14 @@
 import io
 import json
+import math
 import random
 import struct
+import tracemalloc
 import zipfile
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from quire.operators import bibliography as B
 from quire.operators import evaluation as E
@@ -173,6 +176,20 @@ def test_significance():
     assert abs(E.randomization_test(d * 3, 20_000) - E.randomization_test(d * 3, 20_000, seed=2)) < 0.02 and 0 < whole < 1
 
 
+def test_comparison_of_many_queries(spark):
+    n, more = 200_000, 600
+    q = spark.range(n).withColumnRenamed("id", "query_id")
+    a, b = q.withColumn("rr", F.lit(0.5)), q.withColumn("rr", F.when(F.col("query_id") < (n + more) // 2, 1.0).otherwise(0.0))
+    tracemalloc.start()
+    try:
+        got, peak = E.compare(a, b), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert (got["wins"], got["losses"], got["ties"], got["delta"]) == (100_300, 99_700, 0, 0.5 * more / n)
+    assert got["p_random"] == pytest.approx(math.erfc(more / math.sqrt(2 * n)), abs=0.01)
+    assert peak < 100e6  # not a number for every query and draw
+
+
 def test_relevance_and_pairs(spark):
     from pyspark.sql import functions as F
 
