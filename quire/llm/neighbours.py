@@ -3,7 +3,8 @@
 NN-descent. Vectors that are equal number by number are one point of the graph. Random-projection trees, fitted on a
 bounded sample (``FIT_ROWS``), lay all points into small blocks, several times over; the best of a point's
 block mates start its neighbour list. Then, round by round, Spark joins bring to every block the neighbours of its
-points and the neighbours of those, each vector once per block, and every point keeps the best ``WIDTH`` of them.
+points, those they list and those that list them, each vector once per block. What is beside a point meets there, and
+every point keeps the best ``WIDTH`` of those it met.
 A block larger than intended, as in a dense topic, is split by a hash, so no task grows with a hot group; what the
 split parts, the rounds bring together again.
 
@@ -22,10 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.runtime import discard, materialise, maybe_broadcast
+from quire.runtime import discard, materialise, maybe_broadcast, together
 
 K = 10
 #: Entries a point keeps; a round walks all of them and as many reverse ones.
@@ -147,25 +150,17 @@ def _assign(trees: list[Tree]):
     return run
 
 
-def _best(sims: np.ndarray, ids: np.ndarray, width: int) -> list[tuple[list[int], list[float]]]:
-    """Per row of a similarity matrix the ids and values of the best columns."""
-    width = min(width, sims.shape[1])
-    part = np.argpartition(-sims, width - 1, axis=1)[:, :width]
-    vals = np.take_along_axis(sims, part, axis=1)
-    order = np.argsort(-vals, axis=1, kind="stable")
-    part, vals = np.take_along_axis(part, order, axis=1), np.take_along_axis(vals, order, axis=1)
-    ok = vals > -2
-    return [(ids[p[o]].tolist(), v[o].tolist()) for p, v, o in zip(part, vals, ok, strict=True)]
-
-
-def _block_start(df: pd.DataFrame) -> pd.DataFrame:
-    ids, m = df["id"].to_numpy(), _matrix(df["v"])
-    out = []
+def _block_start(t: pa.Table) -> pa.Table:
+    ids, m = t["id"].to_numpy(), _matrix(t["v"].to_pylist())
+    width = min(WIDTH, len(ids) - 1)
+    sims_of, at_of = [np.zeros((0, width), dtype=np.float32)], [np.zeros((0, width), dtype=np.int64)]
     for at in range(0, len(ids), 512):
         sims = m[at : at + 512] @ m.T
         sims[np.arange(len(sims)), np.arange(at, at + len(sims))] = -9
-        out += _best(sims, ids, WIDTH)
-    return pd.DataFrame({"id": ids, "near": [[{"sim": s, "id": i, "new": True} for s, i in zip(v, n, strict=True)] for n, v in out]})
+        part = np.argpartition(-sims, max(0, width - 1), axis=1)[:, :width]
+        at_of.append(part)
+        sims_of.append(np.take_along_axis(sims, part, axis=1))
+    return _grouped(ids, np.repeat(np.arange(len(ids)), width), np.concatenate(sims_of).ravel(), ids[np.concatenate(at_of).ravel()], np.ones(len(ids) * width, dtype=bool))
 
 
 #: Numbers as block ids: they sort without comparing texts.
@@ -193,42 +188,92 @@ def laid_out(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int =
 def start(pts: DataFrame, block: int = BLOCK, trees: int = TREES, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(id, block) of the first tree, and the starting lists (id, near)."""
     blocks = laid_out(pts, block, trees, seed)
-    near = blocks.select("block", "id", "v").groupBy("block").applyInPandas(_block_start, f"id long, near {_NEAR}")
-    merged = near.select("id", F.explode_outer("near").alias("x")).groupBy("id").agg(F.slice(F.sort_array(F.collect_set("x"), asc=False), 1, WIDTH).alias("near"))
-    return blocks.where("tree = 0").select("id", "block"), merged.select("id", "near")
-
-
-_NONE = np.zeros(0, dtype=np.int64)
-
-
-def _round(df: pd.DataFrame) -> pd.DataFrame:
-    """One block: own points with their lists, points next to them with what they lead to, and points met, with vectors."""
-    ids_of = lambda c, rows: [np.asarray(x, dtype=np.int64) if x is not None else _NONE for x in df[c].to_numpy()[rows]]
-    kind = df["kind"].to_numpy()
-    at_hand = np.flatnonzero(kind != 1)  # own points and met ones have vectors
-    ids = df["id"].to_numpy()
-    order = at_hand[np.argsort(ids[at_hand], kind="stable")]
-    known, first = np.unique(ids[order], return_index=True)
-    m = _matrix(df["v"].to_numpy()[order[first]])
-    steps = np.flatnonzero(kind == 1)
-    leads = dict(zip(ids[steps].tolist(), zip(ids_of("fwd", steps), ids_of("fresh", steps), strict=True), strict=True))
-    own = np.flatnonzero(kind == 0)
-    out = []
-    for u, near, fresh, old in zip(ids[own].tolist(), df["near"].to_numpy()[own], ids_of("fresh", own), ids_of("old", own), strict=True):
-        parts = [fresh, *(leads[x][0] for x in fresh.tolist() if x in leads), *(leads[x][1] for x in old.tolist() if x in leads)]
-        cand = np.unique(np.concatenate(parts))
-        at = np.searchsorted(known, cand)
-        at[at == len(known)] = 0
-        at = at[(known[at] == cand) & (cand != u)] if len(known) else _NONE
-        have = {x["id"]: x["sim"] for x in near}
-        mine = int(np.searchsorted(known, u))
-        sims = m[at] @ m[mine]
-        least = min(have.values()) if len(have) >= WIDTH else -2.0
-        good = np.flatnonzero(sims > least)
-        met = {i: s for i, s in zip(known[at[good]].tolist(), sims[good].tolist(), strict=True) if i not in have}
-        best = sorted([(-s, i, False) for i, s in have.items()] + [(-s, i, True) for i, s in met.items()])[:WIDTH]
-        out.append([{"sim": -s, "id": i, "new": n} for s, i, n in best])
-    return pd.DataFrame({"id": ids[own], "near": out})
+    near = blocks.select("block", "id", "v").groupBy("block").applyInArrow(_block_start, f"id long, near {_NEAR}")
+    return blocks.where("tree = 0").select("id", "block"), merged(near)
+
+
+def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of lists and all of their values."""
+    lists = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], type=column.type)
+    return lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten()
+
+
+def _grouped(ids: np.ndarray, owner: np.ndarray, sims: np.ndarray, to: np.ndarray, new: np.ndarray) -> pa.Table:
+    """(id, near): of ids[owner], which is in order."""
+    ends = np.searchsorted(owner, np.arange(len(ids) + 1)).astype(np.int32)
+    near = pa.StructArray.from_arrays([pa.array(sims, pa.float32()), pa.array(to, pa.int64()), pa.array(new, pa.bool_())], names=["sim", "id", "new"])
+    return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.ListArray.from_arrays(ends, near)})
+
+
+def _first(owner: np.ndarray, many: int) -> np.ndarray:
+    """Whether a row is one of the first ``many`` of its owner; owners are in order."""
+    return np.arange(len(owner)) - np.searchsorted(owner, owner) < many
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of lists with repeated entries the WIDTH best, each once; one that was there before is not new."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        n, x = _flat(t["near"])
+        owner, sims, to, new = np.repeat(np.arange(len(n)), n), *(x.field(c).to_numpy(zero_copy_only=False) for c in ("sim", "id", "new"))
+        order = np.lexsort((-sims, new, to, owner))
+        same = np.zeros(len(order), dtype=bool)
+        same[1:] = (owner[order][1:] == owner[order][:-1]) & (to[order][1:] == to[order][:-1])
+        order = order[~same]
+        order = order[np.lexsort((to[order], -sims[order], owner[order]))]
+        order = order[_first(owner[order], WIDTH)]
+        yield from _grouped(t["id"].to_numpy(), owner[order], sims[order], to[order], new[order]).to_batches()
+
+
+def merged(lists: DataFrame) -> DataFrame:
+    """(id, near) in several rows of an id -> one row of each."""
+    return lists.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).mapInArrow(_merged, f"id long, near {_NEAR}")
+
+
+#: Points whose members are compared at once.
+JOINED = 256
+
+
+def _round(t: pa.Table) -> pa.Table:
+    """One block: own points with their members, the first ``fresh`` of them new, and all members once with vectors and what is of use to them."""
+    is_own = t["own"].combine_chunks()
+    own, met = t.filter(is_own), t.filter(pc.invert(is_own))
+    met = met.take(pc.sort_indices(met["id"]))
+    known, least, m = met["id"].to_numpy(), met["least"].to_numpy(), _matrix(met["v"].to_pylist())
+    own = own.sort_by([("fresh", "descending"), ("id", "ascending"), ("k", "ascending")])
+    n, flat = _flat(own["members"])
+    fresh, begins = own["fresh"].to_numpy(), np.cumsum(n) - n
+    member = np.searchsorted(known, flat.to_numpy(zero_copy_only=False))
+    targets, cands, values = [], [], []
+    for at in range(0, int((fresh > 0).sum()), JOINED):
+        now = slice(at, min(at + JOINED, int((fresh > 0).sum())))
+        place = np.arange(n[now].max())
+        there = place < n[now, None]
+        who = np.where(there, member[np.where(there, begins[now, None] + place, 0)], 0)
+        some = int(fresh[now].max())  # new ones meet all
+        is_new = place[:some] < fresh[now, None]
+        v = m[who]
+        sims = v[:, :some] @ v.transpose(0, 2, 1)
+        use = is_new[:, :, None] & there[:, None, :] & (who[:, :some, None] != who[:, None, :])
+        for mine, wanted in ((True, use), (False, use & (place >= fresh[now, None])[:, None, :])):
+            got = np.nonzero(wanted & (sims > (least[who[:, :some]][:, :, None] if mine else least[who][:, None, :])))
+            a, b = who[got[0], got[1]], who[got[0], got[2]]
+            targets.append(a if mine else b)
+            cands.append(b if mine else a)
+            values.append(sims[got])
+    if not targets:
+        return _grouped(np.zeros(0, dtype=np.int64), *np.zeros((4, 0)))
+    target, cand, value = np.concatenate(targets), np.concatenate(cands), np.concatenate(values)
+    order = np.lexsort((-value, target * len(known) + cand))
+    target, cand, value = target[order], cand[order], value[order]
+    once = np.ones(len(target), dtype=bool)
+    once[1:] = (target[1:] != target[:-1]) | (cand[1:] != cand[:-1])
+    order = np.flatnonzero(once)
+    order = order[np.lexsort((cand[order], -value[order], target[order]))]
+    # as many as WIDTH of them may be in the point's list already
+    order = order[_first(target[order], 2 * WIDTH)]
+    ids, owner = np.unique(target[order], return_inverse=True)
+    return _grouped(known[ids], owner, value[order], known[cand[order]], np.ones(len(order), dtype=bool))
 
 
 def best_reverse(edges: DataFrame, parts: int = 32) -> DataFrame:
@@ -240,50 +285,54 @@ def best_reverse(edges: DataFrame, parts: int = 32) -> DataFrame:
 
 
 def descend(pts: DataFrame, home: DataFrame, near: DataFrame, parts: int = PARTS) -> DataFrame:
-    """One round: neighbours of neighbours, brought to the block of every point.
+    """One round: the members of every point, those it lists and those that list it, are brought to its block and meet.
 
-    As in the method, only pairs with an entry that is new since the last round are looked at: from a new neighbour all
-    it leads to, from an old one what is new there. All points serve every part of the blocks.
+    As in the method, only pairs with an entry that is new since the last round are looked at, and each of the two keeps
+    the other if it is better than what it has. All points serve every part of the blocks.
     """
-    top = near.select("id", "near", F.col("near").alias("n"))
     pick = lambda c, flag: F.transform(F.filter(c, lambda x: x.new if flag else ~x.new), lambda x: x.id)
     # of the points that list a point the most similar ones; sort_array over the partial lists needs no window
-    edges = top.select("id", F.explode("n").alias("x")).select(F.col("x.id").alias("to"), F.struct(F.col("x.sim").alias("sim"), F.col("id"), F.col("x.new").alias("new")).alias("e"))
+    edges = near.select("id", F.explode("near").alias("x")).select(F.col("x.id").alias("to"), F.struct(F.col("x.sim").alias("sim"), F.col("id"), F.col("x.new").alias("new")).alias("e"))
     rev = best_reverse(edges)
     none = F.array().cast("array<long>")
-    lists = top.join(rev, "id", "left").join(home, "id").join(pts.select("id", "v"), "id")
+    lists = near.join(rev, "id", "left").join(home, "id").join(pts.select("id", "v"), "id")
     lists = lists.select(
-        "id", "block", "v", "near", F.transform("n", lambda x: x.id).alias("fwd"), pick("n", True).alias("fwd_new"),
-        F.array_union(pick("n", True), F.coalesce(pick("r", True), none)).alias("fresh"), F.array_union(pick("n", False), F.coalesce(pick("r", False), none)).alias("old"),
+        "id", "block", "v", F.when(F.size("near") < WIDTH, -2.0).otherwise(F.array_min(F.transform("near", lambda x: x.sim))).cast("float").alias("least"),
+        F.array_union(pick("near", True), F.coalesce(pick("r", True), none)).alias("fresh"), F.array_union(pick("near", False), F.coalesce(pick("r", False), none)).alias("old"),
     )
-    lists = materialise(lists, "lists")
-    found = []
-    for part in range(parts):
-        step = _part(lists, lists.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == part))
-        found.append(materialise(step, "found"))
-        discard(step.select("id"), "steps")
-    discard(lists)
-    return functools.reduce(DataFrame.unionByName, found)
+    members = F.concat("fresh", F.array_except("old", "fresh"), F.array("id"))
+    lists = materialise(lists.select("id", "block", "v", "least", F.size("fresh").alias("fresh"), members.alias("members")).repartition("block"), "lists")
+    more = materialise(_more(near, edges, lists).repartition("block"), "more")
+    own = lists.select("block", "id", F.lit(0).alias("k"), "fresh", "members").unionByName(more).where("fresh > 0")
+    steps = [materialise(_part(lists, own.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == part)), "steps") for part in range(parts)]
+    discard(own)
+    before = near.select("id", F.transform("near", lambda x: F.struct(x.sim.alias("sim"), x.id.alias("id"), F.lit(False).alias("new"))).alias("near"))
+    every = before.unionByName(together(steps))
+    found = [materialise(merged(every.where(F.pmod(F.xxhash64("id"), F.lit(parts)) == part)), "found") for part in range(parts)]
+    for step in steps:
+        discard(step)
+    return together(found)
+
+
+def _more(near: DataFrame, edges: DataFrame, lists: DataFrame) -> DataFrame:
+    """(block, id, k, fresh, members): what a point lists, with those that list it and are no members yet; of hubs several rows."""
+    size = F.ceil(F.col("count") / (2 * WIDTH)).cast("int")
+    many = edges.join(edges.groupBy("to").count().where(F.col("count") > WIDTH), "to").withColumn("k", 1 + F.pmod(F.xxhash64("e.id"), size))
+    beside = many.groupBy("to", "k").agg(F.sort_array(F.collect_list("e")).alias("e")).withColumnRenamed("to", "id")
+    rows = beside.join(lists.select("id", "block", "members"), "id").join(near, "id")
+    pick = lambda c, flag: F.transform(F.filter(c, lambda x: x.new if flag else ~x.new), lambda x: x.id)
+    rows = rows.withColumn("e", F.filter("e", lambda x: ~F.array_contains("members", x.id))).where(F.size("e") > 0)
+    fresh, old = (F.concat(pick("near", flag), pick("e", flag)) for flag in (True, False))
+    return rows.select("block", "id", F.col("k").cast("int").alias("k"), F.size(fresh).alias("fresh"), F.concat(fresh, old).alias("members"))
 
 
 def _part(lists: DataFrame, own: DataFrame) -> DataFrame:
-    """(id, near) after a round of the points ``own``, rows of ``lists``."""
-    none = F.array().cast("array<long>")
-    by_new = own.select("block", F.explode("fresh").alias("id"), F.lit(True).alias("all"))
-    by_old = own.select("block", F.explode("old").alias("id"), F.lit(False).alias("all"))
-    stops = by_new.unionByName(by_old).groupBy("block", "id").agg(F.bool_or("all").alias("all"))
-    steps = stops.join(lists.select("id", "fwd", "fwd_new"), "id").where(F.col("all") | (F.size("fwd_new") > 0))
-    steps = materialise(steps.select("block", "id", F.when(F.col("all"), F.col("fwd")).otherwise(none).alias("fwd"), F.col("fwd_new").alias("fresh")), "steps")
-    met = steps.select("block", F.explode(F.array_union("fwd", "fresh")).alias("id")).unionByName(by_new.select("block", "id")).distinct()
-    met = met.join(lists.select("id", "v"), "id")
-    # empty lists, not nulls: the Arrow writer goes over a run of null lists again for every row of it
-    no_ids, no_near, no_v = none, F.array().cast(_NEAR), F.lit(None).cast("binary")
-    everything = (
-        own.select("block", "id", F.lit(0).alias("kind"), "v", "near", "fwd", "fresh", "old")
-        .unionByName(steps.select("block", "id", F.lit(1).alias("kind"), no_v.alias("v"), no_near.alias("near"), "fwd", "fresh", no_ids.alias("old")))
-        .unionByName(met.select("block", "id", F.lit(2).alias("kind"), "v", no_near.alias("near"), no_ids.alias("fwd"), no_ids.alias("fresh"), no_ids.alias("old")))
+    """(id, near): what a round finds for the members in ``own``, with vectors of ``lists``; an id in several rows."""
+    met = own.select("block", F.explode("members").alias("id")).distinct().join(lists.select("id", "v", "least"), "id")
+    everything = own.select("block", "id", F.lit(True).alias("own"), F.lit(None).cast("binary").alias("v"), F.lit(0.0).cast("float").alias("least"), "k", "fresh", "members").unionByName(
+        met.select("block", "id", F.lit(False).alias("own"), "v", "least", F.lit(0).alias("k"), F.lit(0).alias("fresh"), F.array().cast("array<long>").alias("members"))
     )
-    return everything.groupBy("block").applyInPandas(_round, f"id long, near {_NEAR}")
+    return everything.groupBy("block").applyInArrow(_round, f"id long, near {_NEAR}")
 
 
 def changed(after: DataFrame) -> float:

@@ -71,6 +71,16 @@ def test_rounds_walk_every_kept_entry(spark):
     assert got.near[0].id == N.WIDTH + 1  # reached from the fifteenth entry alone
 
 
+def test_a_round_brings_together_all_beside_a_point(spark):
+    at = {0: 0.0, 1: 0.001, 2: 0.9, 40: 1.0, 41: 1.001} | {i: 0.1 + 0.001 * i for i in range(3, 33)}
+    pts = spark.createDataFrame([(i, bytearray(np.array([np.cos(a), np.sin(a)], dtype=np.float16).tobytes())) for i, a in at.items()], "id long, v binary")
+    lists = {2: [0, 1], 40: [0], 0: [41]} | {i: [0] for i in range(3, 33)}  # more list 0 than it meets as its best reverse ones
+    near = spark.createDataFrame([(i, [(float(np.cos(at[i] - at[j])), j, True) for j in lists.get(i, [])]) for i in at], "id long, near array<struct<sim:float,id:long,new:boolean>>")
+    got = {r.id: {x.id for x in r.near} for r in N.descend(pts, pts.select("id", F.lit(0).cast("long").alias("block")), near).collect()}
+    assert 1 in got[0] and 0 in got[1]  # both listed by 2, the least similar of those that list 0
+    assert 41 in got[40]  # listed by 0, which 40 lists
+
+
 def test_search_goes_on_until_all_is_expanded(spark, monkeypatch):
     angles = np.linspace(0, 2.8, 240)  # a chain: only the walk along it leads from the entry to the query
     e = [np.array([np.cos(a), np.sin(a)]) for a in angles]
