@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from quire.runtime import discard, materialise, maybe_broadcast, together
 
 K = 10
-#: Entries a point keeps; a round walks all of them and as many reverse ones.
+#: Entries a point keeps; in a round all of them and as many reverse ones meet, and the other reverse ones meet its entries.
 WIDTH = 20
 TREES = 4
 #: Rounds end when one brings in a smaller share of entries than this.
